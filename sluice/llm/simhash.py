@@ -1,35 +1,20 @@
-"""SimHash near-duplicates by a generalised pigeonhole search.
-
-*Fingerprints.*  The hashes of a document's word shingles vote on each of 64
-bits.  Equal fingerprints are one node from here on, so that copies cost one row
-per batch and then one in all.
-
-*Search.*  All pairs of fingerprints that differ in at most ``K`` bits are
-linked:
-
-1. Bits are put into ``PARTS`` parts so that correlated bits share a part, by
-   the 64 x 64 matrix of joint counts.
-2. If thresholds t_i sum to K - PARTS + 1, two fingerprints within K differ by at
-   most t_i in some part i (t_i = -1: the part isn't used).  For every
-   fingerprint its own thresholds are chosen by dynamic programming over the
-   parts, on the number of candidates that each threshold is estimated to
-   bring; the estimate is a hashed histogram of part values of fixed size.
-   Parts with common values thus go unused where others are cheaper.
-3. Every fingerprint is filed under its value in each part and probes the
-   values within its thresholds.  Probes and entries meet by (part, value); a
-   value with many entries is split: probes go to one of its shares, entries to
-   all.
-4. A task compares the fingerprints of a value in blocks and returns, of the
-   links that hold, a spanning forest: fewer links than fingerprints, never all
-   pairs.
-
-*Classes.*  Components come from rounds of large-star and small-star steps on
-the links, each round a few joins of (node, node) rows, written to the shared
-folder.
-
-Null text has no words and the fingerprint 0, linked like any other.  A row
-with a null id gets a fingerprint but no component and links nothing.  Rows that
-repeat an id with other texts share that id.  An empty table gives no rows.
+"""SimHash near-duplicates.
+
+*Fingerprints.*  The hashes of a document's word shingles, repeats included,
+vote on each of 64 bits: a bit is set if it is in over half of them.
+
+*Links.*  Equal fingerprints are one node, counted before they are shuffled, so
+that a group of copies of any size is one node.  Nodes within ``K`` bits are found
+by the search of :mod:`sluice.llm.pigeonhole`, which returns links that hold
+each group together instead of all its pairs.
+
+*Classes.*  :mod:`sluice.llm.components` joins the links; a class is named by
+its smallest document.
+
+Null text has no words and the fingerprint 0, linked like any other.  A row with
+a null id has a fingerprint but no class, and links nothing.  Rows that repeat
+an id are nodes by their own texts.  An empty table gives no rows.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,30 +27,65 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable, mix64
+from sluice.llm import pigeonhole
+from sluice.llm.common import durable
+from sluice.llm.components import components
 
-#: Differing bits of a link, words of a shingle, parts, and bits of the estimate's histogram.
-K, SHINGLE, PARTS, CELL_BITS = 2, 3, 3, 18
-#: Entries from which a value is split, and what a probe costs beside a comparison.
-SPLIT, PROBE_COST = 2048, 4.0
+#: Differing bits of a link, and words of a shingle.
+K, SHINGLE = 2, 3
 
-_XXH = partial(xxhash.xxh64_intdigest, seed=42)
+_hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the hashes of all shingles, repeats included; 0 without words."""
     words = (text or b"").lower().split()
     if not words:
         return 0
-    if len(words) <= shingle:
-        return _XXH(b" ".join(words))
     line = b" ".join(words)
+    if len(words) <= shingle:
+        return _hash(line)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     begin, end = [0, *ends[:-1].tolist()], (ends[shingle - 1 :] - 1).tolist()
-    hashes = [_XXH(line[a:b]) for a, b in zip(begin, end, strict=False)]
+    hashes = [_hash(line[a:b]) for a, b in zip(begin, end, strict=False)]
     votes = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         block = np.array(hashes[lo : lo + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * votes > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (a long with the fingerprint's bits) of every row."""
+
+    def run(batches):
+        for batch in batches:
+            fps = [fingerprint(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, fp long")
+
+
+def classes(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp, component_id of every row; one row per document with its class, no pairs."""
+    prints = durable(fingerprints(docs, shingle))
+    nodes = durable(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(pigeonhole.links(nodes.select("fp"), k))
+    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = durable(placed)
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
+    # many rows may share a fingerprint; the adaptive join splits such a key
+    both = prints.join(named, F.col("fp") == F.col("_fp"), "left")
+    return both.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def hexed(fp: str = "fp"):
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def deduplicated(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
+    """The smallest document of each class, with its own columns; documents without an id stay."""
+    first = classes(docs, k, shingle).where("component_id = doc_id").select(F.col("doc_id").alias("_sl_id")).distinct()
+    rows = docs.withColumn("_sl_key", F.col("doc_id").cast("long"))
+    kept = rows.join(first, F.col("_sl_key") == F.col("_sl_id"), "left_semi").dropDuplicates(["_sl_key", "text"])
+    return kept.unionByName(rows.where("_sl_key is null")).select(*docs.columns)
