@@ -33,8 +33,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable
-
 #: Vectors that are pivots at most; data rows and queries compared at once; rows of a share aimed at.
 PIVOTS, BLOCK, SHARE = 64, 4096, 16_384
 
@@ -91,31 +89,33 @@ def top_k(vectors: DataFrame, *, is_query: str = "vec_id % 50 = 0", k: int = 5,
     def summarise(batches):
         count, reach = np.zeros(len(points), dtype=np.int64), np.zeros(len(points))
         data = np.zeros(len(points), dtype=np.int64)
-        near: list[list[float]] = [[] for _ in points]
+        near: list[list[tuple[float, int]]] = [[] for _ in points]
         for batch in batches:
-            x = _matrix(batch.column(1), width)
+            ids, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), width)
             query = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             d = _distances(x, np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0)), points, extras)
             home = d.argmin(axis=1)
             own = d[np.arange(len(x)), home]
             for j in np.unique(home).tolist():
-                mine = own[home == j]
+                mine = np.flatnonzero(home == j)
                 data[j] += len(mine)
-                near[j] = heapq.nsmallest(k + 1, near[j] + heapq.nsmallest(k + 1, mine.tolist()))
+                found = near[j] + heapq.nsmallest(k + 1, zip(own[mine].tolist(), ids[mine].tolist(), strict=True))
+                # rows of one id count once, so that the bound isn't too low
+                near[j] = sorted((d, i) for i, d in dict((i, d) for d, i in sorted(found, reverse=True)).items())[: k + 1]
             q = _distances(x[query], np.zeros(int(query.sum())), points, extras)
             cell = q.argmin(axis=1)
             np.add.at(count, cell, 1)
             np.maximum.at(reach, cell, q[np.arange(len(q)), cell])
         some = np.flatnonzero(data + count)
-        columns = [some, data[some], count[some], reach[some], [near[j] for j in some.tolist()]]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+        columns = [some, data[some], count[some], reach[some], [[{"d": d, "id": i} for d, i in near[j]] for j in some.tolist()]]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["cell", "data", "queries", "reach", "near"])
 
     marked = rows.withColumn("query", F.expr(is_query))
-    partial = marked.mapInArrow(summarise, "cell int, data long, queries long, reach double, near array<double>")
-    # a cell's summaries, one of k + 1 numbers a task, become one of k + 1 numbers
-    merged = partial.select("cell", "data", "queries", "reach", F.explode_outer("near").alias("d"), F.monotonically_increasing_id().alias("task"))
-    ranked = merged.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(F.col("d").asc_nulls_last())))
+    partial = marked.mapInArrow(summarise, "cell int, data long, queries long, reach double, near array<struct<d: double, id: long>>")
+    # k + 1 distances a cell from each task become k + 1 a cell
+    merged = partial.select("cell", F.inline("near")).groupBy("cell", "id").agg(F.min("d").alias("d"))
+    ranked = merged.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("d", "id")))
     sums = partial.groupBy("cell").agg(F.sum("data").alias("data"), F.sum("queries").alias("queries"), F.max("reach").alias("reach"))
     nearest = ranked.where(F.col("r") <= k + 1).groupBy("cell").agg(F.collect_list("d").alias("near"))
     n = len(points)
@@ -176,13 +176,11 @@ def top_k(vectors: DataFrame, *, is_query: str = "vec_id % 50 = 0", k: int = 5,
                     other = np.flatnonzero(ids != query)
                     row, names = row[other], ids[other]
                     # repeated rows may fill the first places
-                    want, got = k, set()
-                    while len(got) < k and want < 2 * max(1, len(row)):
-                        top = np.argpartition(-row, min(want, len(row)) - 1)[:want] if len(row) else np.zeros(0, dtype=int)
-                        if len(row):
-                            top = np.flatnonzero(row >= row[top].min())
+                    want, got = min(k, len(row)), set()
+                    while want:
+                        top = np.flatnonzero(row >= np.partition(row, len(row) - want)[len(row) - want])
                         got = set(zip((-row[top]).tolist(), names[top].tolist(), strict=True))
-                        want *= 4
+                        want = min(4 * want, len(row)) if len(got) < k and want < len(row) else 0
                     held[:] = heapq.nsmallest(k, set(held) | got)
             pending[0].clear(), pending[1].clear()
 

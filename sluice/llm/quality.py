@@ -84,6 +84,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     found = F.filter(keys, lambda k, j: same(k, F.get(keys, j + 1)) | same(k, F.get(keys, j - 1)))
     df = df.withColumn("_sl_found", F.sort_array(F.transform(found, place)))
     start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
+    # always 0; a filter isn't pushed below what isn't deterministic, where it would be evaluated again for each word
+    guard = F.shiftright(F.monotonically_increasing_id(), 63)
     covered = F.aggregate("_sl_found", start, lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
     return df.withColumns(
         {
@@ -92,7 +94,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"),
             "n_lines": F.size("_sl_lines").cast("long"),
             "n_dup_lines": (F.size("_sl_lines") - F.size(F.array_distinct("_sl_lines"))).cast("long"),
-            "n_repeat_words": covered.cast("long"),
+            "n_repeat_words": covered.cast("long") + guard,
         }
     )
 
