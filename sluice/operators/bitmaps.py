@@ -49,7 +49,7 @@ def cardinality(words: DataFrame) -> DataFrame:
 def rows_of_words(words: DataFrame) -> DataFrame:
     """row_id of each set bit."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftrightunsigned", F.col("word"), i).bitwiseAND(1) == 1)
-    return words.select((F.shiftleft("word_key", WORD_BITS) + F.explode(bits)).alias(ROW_ID))
+    return words.select("word_key", F.explode(bits).alias("bit")).select((F.shiftleft("word_key", WORD_BITS) + F.col("bit")).alias(ROW_ID))
 
 
 def contains(words: DataFrame, row_id: int) -> bool:

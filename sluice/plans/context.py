@@ -19,27 +19,30 @@ ROW_ID = "row_id"
 
 @dataclass(frozen=True)
 class DatasetSpec:
-    filters: dict[str, Column] = field(default_factory=dict)
-    metrics: dict[str, Column] = field(default_factory=dict)
-    id_column: Column | None = None
+    """Expressions may be SQL text, which needs no session until the spec is laid over a table."""
+
+    filters: dict[str, Column | str] = field(default_factory=dict)
+    metrics: dict[str, Column | str] = field(default_factory=dict)
+    id_column: Column | str | None = None
     block_bits: int = BLOCK_BITS
 
     def filter(self, name: str, predicate: Column | str) -> DatasetSpec:
         """Adds a named predicate; a name used again is replaced."""
-        return replace(self, filters=self.filters | {name: _column(predicate)})
+        return replace(self, filters=self.filters | {name: predicate})
 
     def metric(self, name: str, value: Column | str) -> DatasetSpec:
-        return replace(self, metrics=self.metrics | {name: _column(value)})
+        return replace(self, metrics=self.metrics | {name: value})
 
     def row_id(self, column: Column | str, block_bits: int | None = None) -> DatasetSpec:
         """The column that numbers rows; only block and id operators need one."""
-        return replace(self, id_column=_column(column), block_bits=block_bits or self.block_bits)
+        return replace(self, id_column=column, block_bits=block_bits or self.block_bits)
 
     def over(self, df: DataFrame) -> QueryContext:
         if not self.metrics:
             raise ValueError("a dataset needs a metric")
-        metrics = {n: F.coalesce(m.cast("double"), F.lit(0.0)) for n, m in self.metrics.items()}
-        return QueryContext(df, dict(self.filters), metrics, self.id_column, self.block_bits)
+        metrics = {n: F.coalesce(_column(m).cast("double"), F.lit(0.0)) for n, m in self.metrics.items()}
+        row_id = None if self.id_column is None else _column(self.id_column)
+        return QueryContext(df, {n: _column(f) for n, f in self.filters.items()}, metrics, row_id, self.block_bits)
 
 
 def _column(c: Column | str) -> Column:

@@ -22,35 +22,28 @@ ORACLES: dict[str, str] = {}
 
 LINES = (
     DatasetSpec()
-    .filter("returned", F.col("l_returnflag") == "R")
-    .filter("bulk", F.col("l_quantity") > 40)
-    .filter("none", F.col("l_quantity") < 0)
-    .metric("price", F.col("l_extendedprice"))
-    .metric("qty", F.col("l_quantity"))
-    .metric("one", F.lit(1.0))
+    .filter("returned", "l_returnflag = 'R'")
+    .filter("bulk", "l_quantity > 40")
+    .filter("none", "l_quantity < 0")
+    .metric("price", "l_extendedprice")
+    .metric("qty", "l_quantity")
+    .metric("one", "1.0")
 )
 ORDERS = (
     DatasetSpec()
-    .filter("dear", F.col("o_totalprice") > 400_000)
-    .filter("filled", F.col("o_orderstatus") == "F")
-    .filter("urgent", F.col("o_orderpriority") == "1-URGENT")
-    .filter("high", F.col("o_totalprice") > 499_000)
-    .filter("low", F.col("o_totalprice") < 1_200)
-    .metric("price", F.col("o_totalprice"))
-    .row_id(F.col("o_orderkey"), block_bits=10)
-)
-EVENTS = (
-    DatasetSpec()
-    .filter("click", F.col("event_type") == "click")
-    .filter("large", F.col("value") > 100)
-    .metric("value", F.col("value"))
-    .metric("user", F.col("user_id"))
-    .row_id(F.col("event_id"))
+    .filter("dear", "o_totalprice > 400000")
+    .filter("filled", "o_orderstatus = 'F'")
+    .filter("urgent", "o_orderpriority = '1-URGENT'")
+    .filter("high", "o_totalprice > 499000")
+    .filter("low", "o_totalprice < 1200")
+    .metric("price", "o_totalprice")
+    .row_id("o_orderkey", block_bits=10)
 )
+EVENTS = DatasetSpec().filter("click", "event_type = 'click'").filter("large", "value > 100").metric("value", "value").metric("user", "user_id").row_id("event_id")
 BRANDS = [f"Brand#{i}" for i in range(1, 11)]
-PARTS = DatasetSpec().metric("size", F.col("p_size")).row_id(F.col("p_partkey"))
+PARTS = DatasetSpec().metric("size", "p_size").row_id("p_partkey")
 for _b in BRANDS:
-    PARTS = PARTS.filter(_b, F.col("p_brand") == _b)
+    PARTS = PARTS.filter(_b, f"p_brand = '{_b}'")
 
 P, Q = "(l_returnflag = 'R')", "(l_quantity > 40)"
 E, S, U = "(o_totalprice > 400000)", "(o_orderstatus = 'F')", "(o_orderpriority = '1-URGENT')"
@@ -380,7 +373,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     """Pearson's r of two arrays, unfolded to rows."""
     rows = read_table(spark, sf, "lineitem").where("l_orderkey < 256")
     arrays = rows.agg(F.arrays_zip(F.collect_list("l_extendedprice").alias("x"), F.collect_list("l_quantity").alias("y")).alias("a"))
-    pairs = arrays.select(F.explode("a").alias("p")).select(F.col("p.0").alias("x"), F.col("p.1").alias("y"))
+    pairs = arrays.select(F.explode("a").alias("p")).select(F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     spec = DatasetSpec().filter("all", F.lit(True)).metric("x", F.col("x")).metric("y", F.col("y"))
     return _rounded(select_filter(spec.over(pairs), "all").reduce(r=reducers.correlation("x", "y")), r=6)
 

@@ -149,7 +149,7 @@ def test_slices():
 
 def test_specs_are_immutable(spark, ids):
     changed = SPEC.filter("a", F.lit(True)).over(ids.df)
-    assert select_filter(changed, "a").cardinality() == 8 and select_filter(ids, "a").cardinality() == 5
+    assert select_filter(changed, "a").cardinality() == ids.df.count() and select_filter(ids, "a").cardinality() == 5
 
 
 def test_many_filters(spark):
