@@ -31,7 +31,7 @@ RULES: dict[str, str] = {
     "symbols": "10 * n_symbols > n_words",
     "short_words": "word_chars < 3 * n_words",
     "long_words": "word_chars > 12 * n_words",
-    "repeated_lines": "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "n_lines >= 4 and 2 * n_dup_lines > n_lines",
 }
 BITS = {name: 1 << i for i, name in enumerate(RULES)}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -162,6 +162,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
        OR word_chars < 3 * n_words OR word_chars > 12 * n_words
-       OR (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)) AS kept
+       OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)) AS kept
 FROM m
 """
