@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import durable
+
 #: Words of the shared vocabulary, cells for bigrams, weight of the unigram model, cells of a range.
 VOCABULARY, CELLS, MU, RANGE = 50_000, 1_048_573, 2.0, 1 << 16
 #: Distinct words that a task holds before it sends their counts.
@@ -56,7 +58,15 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
                     yield out()
         yield out()
 
-    words = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = durable(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # a short histogram of the counts' magnitudes tells which words can be among the first, so that only these are sorted
+    magnitude = F.floor(16 * F.log2("n"))
+    least, held = None, 0
+    for r in sorted(words.groupBy(magnitude.alias("m")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.m):
+        least, held = r.m, held + r.words
+        if held >= size:
+            break
+    words = words.where(magnitude >= F.lit(least))
     top = words.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()["word"].to_pylist()
     return {bytes(w): i + 1 for i, w in enumerate(top)}
 
@@ -139,7 +149,8 @@ def score(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY) -> DataFr
     known = context.broadcast(vocabulary(docs, size))
     width = len(known.value) + 2
     ids = targets.select(F.col("doc_id").cast("long").alias("_t")).where("_t is not null").distinct()
-    marked = docs.join(ids, F.col("doc_id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("target"))
+    # labels grow with the documents, so they are never broadcast
+    marked = docs.join(ids.hint("merge"), F.col("doc_id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("target"))
     counts = context.broadcast(models(marked, known))
 
     def run(batches):
