@@ -146,9 +146,13 @@ def check_quality(given, got, _):
         words = (r["text"] or "").encode().split()
         runs = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
         covered = {i + d for i in range(len(words) - 2) if runs[tuple(words[i : i + 3])] > 1 for d in range(3)}
-        if len(words) < 50 or 2 * len(covered) > len(words):
-            assert r["doc_id"] not in kept
-    assert all(r in given for r in got) and len(got) > 0.8 * len(given)
+        text = r["text"] or ""
+        symbols, letters = sum(text.count(c) for c in "#*$%&|<>"), len(b"".join(words).decode())
+        lines = [x for x in text.encode().split(b"\n") if x.split()]
+        fails = len(words) < 50 or 2 * len(covered) > len(words) or 10 * symbols > len(words) or not 3 * len(words) <= letters <= 12 * len(words)
+        fails = fails or (len(lines) >= 4 and 2 * (len(lines) - len(set(lines))) > len(lines))
+        assert (r["doc_id"] in kept) == (not fails)
+    assert all(r in given for r in got)
 
 
 def check_near(given, got, _):
