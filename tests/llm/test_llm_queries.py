@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF, same_rows
-from sluice.llm import registry
+from sluice.llm import mixing, registry
 from sluice.llm.common import table
 from sluice.llm.tokens import default_vocabulary
 
@@ -185,8 +185,17 @@ def check_mix(given, got, _):
     size = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in given}
     taken = Counter(r["doc_id"] for r in got)
     assert max(taken.values()) <= 2 and all(r in given for r in got)
-    total = sum(size.values())
-    assert abs(sum(size[d] * n for d, n in taken.items()) - 1.5 * total) < 0.05 * total
+    sources = defaultdict(list)
+    for r in given:
+        sources[r["source"]].append(r["doc_id"])
+    sizes = {s: sum(size[d] for d in ds) for s, ds in sources.items()}
+    goal = mixing.targets(sizes, mixing.cycled_weights(list(sizes)), 1.5 * sum(sizes.values()), 2.0)
+    for s, ds in sources.items():
+        # what is missing is less than any document that could still have been taken once more
+        missing = goal[s] - sum(size[d] * taken[d] for d in ds)
+        least = min(taken[d] for d in ds)
+        more = [size[d] for d in ds if taken[d] == least and size[d]]
+        assert -1e-6 <= missing and (missing < min(more) or missing < 1)
 
 
 def check_packed(given, got, tokenizer):
