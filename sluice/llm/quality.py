@@ -128,13 +128,12 @@ def ablations(ledger: DataFrame, policies: dict[str, tuple[str, ...]] | None = N
     there are 2**rules at most.
     """
     policies = policies or POLICIES
-    spark = ledger.sparkSession
     rows = [(p, rule, sum(BITS[r] for r in rules if r != rule)) for p, rules in policies.items() for rule in (None, *rules)]
-    cases = spark.createDataFrame(rows, "policy string, without string, mask long")
+    cases = F.array(*(F.struct(F.lit(p).alias("policy"), F.lit(rule).cast("string").alias("without"), F.lit(m).cast("long").alias("mask")) for p, rule, m in rows))
     patterns = ledger.groupBy("failed").agg(F.count("*").alias("documents"))
-    hit = F.when(F.col("failed").bitwiseAND(F.col("mask")) == 0, F.col("documents")).otherwise(F.lit(0))
-    # at most 2**rules patterns meet a few cases
-    return patterns.join(F.broadcast(cases), F.lit(True)).groupBy("policy", "without").agg(F.sum(hit).alias("kept"))
+    hit = F.when(F.col("failed").bitwiseAND(F.col("case.mask")) == 0, F.col("documents")).otherwise(F.lit(0))
+    judged = patterns.withColumn("case", F.explode(cases))
+    return judged.groupBy("case.policy", "case.without").agg(F.sum(hit).alias("kept"))
 
 
 def keep(docs: DataFrame, policy: str = "web-1") -> DataFrame:
