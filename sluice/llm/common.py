@@ -51,6 +51,29 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def whole_keys(batches, limit: int = 8 << 20):
+    """Batches of about ``limit`` bytes, or one key, from batches sorted by their first column, an integer; no key is split."""
+    held, size, least = [], 0, limit
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < least:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = whole.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield whole.slice(0, cut)
+        held = [whole.slice(cut)]
+        size = held[0].nbytes
+        # a key larger than the limit isn't copied again for each batch
+        least = max(limit, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer; equal inputs stay equal, all bits depend on all bits."""
     h = h ^ (h >> np.uint64(33))

@@ -17,7 +17,9 @@ window that covers it also starts in a document with a smaller id.
    often are dealt by anchor and window, so that no key grows hot.  Before that
    each batch settles its own repeats: of equal windows only those in its
    smallest document ask further, so a window has one row per batch at most.
-   The windows of a partition are grouped by anchor and window hash, 128 bits.
+   Rows come to a task sorted by deal, and windows are grouped by anchor and
+   window hash, 128 bits, for some deals at a time, so a task holds a few of
+   them whatever its partition's size.
 3. The words to remove come back as intervals, are joined to the documents by
    id, and the texts rebuilt.
 
@@ -33,10 +35,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import hash_words, input_bytes, mix64, powers, split_words, text_chunks
+from sluice.llm.common import hash_words, input_bytes, mix64, powers, split_words, text_chunks, whole_keys
 
 #: Cells a row of the sketch: from 2**LEAST_BITS to 2**MOST_BITS (64 MB a bit map), by the input's bytes.
 LEAST_BITS, MOST_BITS, SHARD_BITS = 20, 29, 18
@@ -97,10 +100,16 @@ def _cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchors >> np.uint64(64 - bits)).astype(np.int64), (mix64(anchors + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _small_batches(batches, rows: int = 4096):
+def _small_batches(batches, rows: int = 4096, size: int = 8 << 20):
+    """Slices of at most ``rows`` rows and about ``size`` bytes; a longer row is one by itself."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+        lo, n = 0, batch.num_rows
+        ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while lo < n:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, min(n, lo + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def sketch_bits(docs: DataFrame) -> int:
@@ -220,36 +229,30 @@ def _ask(maps, width: int, bits: int):
 
 
 def _settle(width: int):
+    names = ["doc_id", "start", "stop"]
+
     def run(batches):
-        deals, docs, starts, sizes, blobs = [], [], [], [], []
-        for batch in batches:
-            asked = np.asarray(batch.column(4).is_valid())
-            known = batch.filter(pa.array(~asked))
+        for batch in whole_keys(batches):
+            asked = batch.column(4).is_valid()
+            known = batch.filter(pc.invert(asked))
             if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(i) for i in (1, 2, 3)], names=["doc_id", "start", "stop"])
-            rest = batch.filter(pa.array(asked))
-            if rest.num_rows:
-                deals.append(rest.column(0).to_numpy())
-                docs.append(rest.column(1).to_numpy())
-                starts.append(rest.column(2).to_numpy())
-                sizes.append(rest.column(3).to_numpy() - starts[-1])
-                blobs += rest.column(4).to_pylist()
-        if not blobs:
-            return
-        n = np.concatenate(sizes)
-        hashes = np.frombuffer(b"".join(blobs), dtype="<u8")
-        blobs.clear()
-        within = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(np.concatenate(starts), n) + within
-        doc, deal = np.repeat(np.concatenate(docs), n), np.repeat(np.concatenate(deals), n)
-        order = np.lexsort((doc, deal, hashes))
-        h, k, d = hashes[order], deal[order], doc[order]
-        head = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-        later = d > d[np.flatnonzero(head)][np.cumsum(head) - 1]
-        d, p = d[later], at[order][later]
-        order = np.lexsort((p, d))
-        d, s, e = _merge_runs(d[order], p[order], width)
-        yield pa.RecordBatch.from_arrays([pa.array(d, type=pa.int64()), pa.array(s, type=pa.int32()), pa.array(e, type=pa.int32())], names=["doc_id", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([known.column(i) for i in (1, 2, 3)], names=names)
+            rest = batch.filter(asked)
+            if not rest.num_rows:
+                continue
+            deal, doc, start, stop = (rest.column(i).to_numpy() for i in range(4))
+            n = (stop - start).astype(np.int64)
+            hashes = np.frombuffer(b"".join(rest.column(4).to_pylist()), dtype="<u8")
+            at = np.repeat(start, n) + np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+            doc, deal = np.repeat(doc, n), np.repeat(deal, n)
+            order = np.lexsort((doc, deal, hashes))
+            h, k, d = hashes[order], deal[order], doc[order]
+            head = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
+            later = d > d[np.flatnonzero(head)][np.cumsum(head) - 1]
+            d, p = d[later], at[order][later]
+            order = np.lexsort((p, d))
+            d, s, e = _merge_runs(d[order], p[order], width)
+            yield pa.RecordBatch.from_arrays([pa.array(d, type=pa.int64()), pa.array(s, type=pa.int32()), pa.array(e, type=pa.int32())], names=names)
 
     return run
 
@@ -260,7 +263,7 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     bits = sketch_bits(docs)
     maps = docs.sparkSession.sparkContext.broadcast(repeated_anchors(rows, width, bits))
     asked = rows.mapInArrow(_ask(maps, width, bits), _SCHEMA)
-    spans = asked.repartition("deal").mapInArrow(_settle(width), "doc_id long, start int, stop int")
+    spans = asked.repartition("deal").sortWithinPartitions("deal").mapInArrow(_settle(width), "doc_id long, start int, stop int")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from sluice.llm import chat_tree, components, knn, lm_scoring, mixing, packing, pigeonhole, quality, simhash, substring_dedup, token_counts, token_files
+from sluice.llm.common import whole_keys
 from sluice.llm.tokens import default_vocabulary, encoder
 
 SCHEMA = "doc_id long, text string, source string, size long, n_words long, value long, _row string"
@@ -291,3 +293,15 @@ def test_models_are_distributions(spark):
     width = 4
     p = [2.0 ** -lm_scoring.losses(counts[0], width, np.arange(3), np.full(3, h)) for h in range(4)]
     assert all(sum(x) <= 1 + 1e-9 for x in p)
+
+
+@pytest.mark.parametrize("limit", [1, 64, 1 << 20])
+def test_whole_keys_split_no_key(limit):
+    keys = np.repeat(np.array([-9, -2, 0, 5, 7, 8]), [1, 300, 2, 0, 41, 1])
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(len(keys)))], names=["k", "v"])
+    parts = list(whole_keys([rows.slice(lo, 7) for lo in range(0, len(keys), 7)] + [rows.slice(0, 0)], limit))
+    assert np.concatenate([p.column(1).to_numpy() for p in parts]).tolist() == list(range(len(keys)))
+    seen = [set(p.column(0).to_pylist()) for p in parts]
+    assert sum(map(len, seen)) == len(set(keys.tolist()))
+    assert len(parts) > 1 or limit > 64
+    assert not list(whole_keys([rows.slice(0, 0)], limit))
