@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import mix64
+from sluice.llm.common import mix64, whole_keys
 
 #: Parts, bits of the histogram's cells, entries of a share aimed at, and what a probe costs beside a comparison.
 PARTS, CELL_BITS, SHARE, PROBE_COST = 3, 16, 2048, 4.0
@@ -215,29 +215,23 @@ def forest(probes: np.ndarray, entries: np.ndarray, k: int) -> list[tuple[int, i
 
 def _meet(k: int):
     def run(batches):
-        columns = [[], [], [], [], []]
-        for batch in batches:
-            for c, x in zip(columns, batch.columns, strict=True):
-                c.append(x.to_numpy(zero_copy_only=False))
-        if not columns[0]:
-            return
-        deal, part, value, probes, fp = (np.concatenate(c) for c in columns)
-        columns.clear()
-        fp, probes = fp.view(np.uint64), probes.astype(bool)
-        order = np.lexsort((probes, value, part, deal))
-        deal, part, value, probes, fp = (x[order] for x in (deal, part, value, probes, fp))
-        new = np.concatenate([[True], (deal[1:] != deal[:-1]) | (part[1:] != part[:-1]) | (value[1:] != value[:-1])])
-        first = np.flatnonzero(new)
-        stop = np.concatenate([first[1:], [len(deal)]])
-        asking = np.add.reduceat(probes.astype(np.int64), first)
-        out = []
-        for a, b, n in zip(first.tolist(), stop.tolist(), asking.tolist(), strict=True):
-            # entries come before probes
-            if n and b - a - n and not (b - a == 2 and fp[a] == fp[a + 1]):
-                out += forest(np.unique(fp[b - n : b]), np.unique(fp[a : b - n]), k)
-        if out:
-            links = np.array(out, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+        for batch in whole_keys(batches):
+            deal, part, value, probes, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            fp, probes = fp.view(np.uint64), probes.astype(bool)
+            order = np.lexsort((probes, value, part, deal))
+            deal, part, value, probes, fp = (x[order] for x in (deal, part, value, probes, fp))
+            new = np.concatenate([[True], (deal[1:] != deal[:-1]) | (part[1:] != part[:-1]) | (value[1:] != value[:-1])])
+            first = np.flatnonzero(new)
+            stop = np.concatenate([first[1:], [len(deal)]])
+            asking = np.add.reduceat(probes.astype(np.int64), first)
+            out = []
+            for a, b, n in zip(first.tolist(), stop.tolist(), asking.tolist(), strict=True):
+                # entries come before probes
+                if n and b - a - n and not (b - a == 2 and fp[a] == fp[a + 1]):
+                    out += forest(np.unique(fp[b - n : b]), np.unique(fp[a : b - n]), k)
+            if out:
+                links = np.array(out, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     return run
 
@@ -247,4 +241,4 @@ def links(fps: DataFrame, k: int = 2, parts: int = PARTS) -> DataFrame:
     grouped = group_bits(*joint_counts(fps), parts)
     counts = fps.sparkSession.sparkContext.broadcast(histogram(fps, grouped))
     dealt = fps.mapInArrow(_deal(grouped, counts, k), "deal long, part int, value long, probes boolean, fp long")
-    return dealt.repartition("deal").mapInArrow(_meet(k), "a long, b long")
+    return dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_meet(k), "a long, b long")
