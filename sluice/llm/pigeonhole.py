@@ -30,6 +30,8 @@ from sluice.llm.common import mix64, whole_keys
 #: Parts, bits of the histogram's cells, entries of a share aimed at, and what a probe costs beside a comparison.
 PARTS, CELL_BITS, SHARE, PROBE_COST = 3, 16, 2048, 4.0
 BLOCK = 2048
+#: Columns that travel with an entry or a probe: the fingerprint, then what a caller adds.
+NAMES = ("fp", "node", "check")
 
 
 def _unsigned(column: pa.Array) -> np.ndarray:
@@ -149,23 +151,26 @@ def allocate(costs: np.ndarray, goal: int) -> np.ndarray:
     return out
 
 
-def _deal(parts: list[list[int]], counts, k: int):
+def _deal(parts: list[list[int]], counts, k: int, first: int = 0, aim: int = SHARE):
+    """Entries and probes; further long columns travel along, and parts are numbered from ``first``."""
     balls = [[ball(len(part), r) for r in range(k + 1)] for part in parts]
 
     def shares(estimate: np.ndarray) -> np.ndarray:
-        return 1 + estimate // SHARE
+        return 1 + estimate // aim
 
-    def batch_of(part, value, share, probes, fp):
+    def batch_of(part, value, share, probes, own):
+        part += first
         deal = mix64(value * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part) + (share.astype(np.uint64) << np.uint64(48))).view(np.int64)
         n = len(value)
-        columns = [deal, np.full(n, part, dtype=np.int32), value.view(np.int64), np.full(n, probes), fp.view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["deal", "part", "value", "probes", "fp"])
+        columns = [deal, np.full(n, part, dtype=np.int32), value.view(np.int64), np.full(n, probes), *(c.view(np.int64) for c in own)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["deal", "part", "value", "probes", *NAMES[: len(own)]])
 
     def run(batches):
         estimates = counts.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                fps = _unsigned(batch.column(0).slice(lo, 4096))
+                columns = [_unsigned(c.slice(lo, 4096)) for c in batch.columns]
+                fps = columns[0]
                 own = [values(fps, part) for part in parts]
                 costs = np.zeros((len(parts), k + 2, len(fps)))
                 near = []
@@ -181,13 +186,13 @@ def _deal(parts: list[list[int]], counts, k: int):
                     n = shares(near[p][0][:, 0])
                     rows = np.repeat(np.arange(len(fps)), n)
                     share = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-                    yield batch_of(p, own[p][rows], share, False, fps[rows])
+                    yield batch_of(p, own[p][rows], share, False, [c[rows] for c in columns])
                     for r, ring in enumerate(near[p]):
                         # a value that only the fingerprint itself has, or none, has no partner
                         row, at = np.nonzero((chosen[p] >= r)[:, None] & (ring > (r == 0)))
                         if len(row):
                             share = (mix64(fps[row]) % shares(ring[row, at]).astype(np.uint64)).astype(np.int64)
-                            yield batch_of(p, own[p][row] ^ balls[p][r][at], share, True, fps[row])
+                            yield batch_of(p, own[p][row] ^ balls[p][r][at], share, True, [c[row] for c in columns])
 
     return run
 

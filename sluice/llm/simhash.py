@@ -82,10 +82,3 @@ def classes(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
 def hexed(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
-
-def deduplicated(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
-    """The smallest document of each class, with its own columns; documents without an id stay."""
-    first = classes(docs, k, shingle).where("component_id = doc_id").select(F.col("doc_id").alias("_sl_id")).distinct()
-    rows = docs.withColumn("_sl_key", F.col("doc_id").cast("long"))
-    kept = rows.join(first, F.col("_sl_key") == F.col("_sl_id"), "left_semi").dropDuplicates(["_sl_key", "text"])
-    return kept.unionByName(rows.where("_sl_key is null")).select(*docs.columns)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
-from sluice.llm import chat_tree, components, knn, lm_scoring, mixing, packing, pigeonhole, quality, simhash, substring_dedup, token_counts, token_files
+from sluice.llm import chat_tree, components, knn, lm_scoring, mixing, near, packing, pigeonhole, quality, simhash, substring_dedup, token_counts, token_files
 from sluice.llm.common import whole_keys
 from sluice.llm.tokens import default_vocabulary, encoder
 
@@ -39,7 +39,7 @@ FUNCTIONS = {
     "substring": substring_dedup.digests,
     "passages": substring_dedup.deduplicated,
     "simhash": simhash.classes,
-    "near": simhash.deduplicated,
+    "near": near.deduplicated,
     "counts": token_counts.count_tokens,
     "lm": lambda d: lm_scoring.score(d, d.select("doc_id")),
 }
@@ -70,6 +70,12 @@ def test_substring_values(docs):
     assert removed[7, 60_002] == 60_000 and removed[6, 60_000] == 0
 
 
+def test_near_values(docs):
+    # alike: 1 and 5; 2, 3 and 4, which have no words; 6 and 7; 10 and 11
+    kept = [r.doc_id for r in near.deduplicated(docs).collect()]
+    assert sorted(kept, key=str) == sorted([1, 2, 6, 8, 9, 10, None], key=str)
+
+
 def test_mix_values(docs):
     for r in mixing.mix(docs).collect():
         assert 0 <= r.taken <= 2 * r["size"]
