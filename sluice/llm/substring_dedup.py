@@ -100,7 +100,7 @@ def _cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchors >> np.uint64(64 - bits)).astype(np.int64), (mix64(anchors + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _small_batches(batches, rows: int = 4096, size: int = 8 << 20):
+def _small_batches(batches, rows: int = 4096, size: int = 2 << 20):
     """Slices of at most ``rows`` rows and about ``size`` bytes; a longer row is one by itself."""
     for batch in batches:
         lo, n = 0, batch.num_rows
@@ -232,7 +232,7 @@ def _settle(width: int):
     names = ["doc_id", "start", "stop"]
 
     def run(batches):
-        for batch in whole_keys(batches):
+        for batch in whole_keys(batches, 4 << 20):
             asked = batch.column(4).is_valid()
             known = batch.filter(pc.invert(asked))
             if known.num_rows:
