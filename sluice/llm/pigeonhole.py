@@ -153,7 +153,10 @@ def allocate(costs: np.ndarray, goal: int) -> np.ndarray:
 
 def _deal(parts: list[list[int]], counts, k: int, first: int = 0, aim: int = SHARE):
     """Entries and probes; further long columns travel along, and parts are numbered from ``first``."""
-    balls = [[ball(len(part), r) for r in range(k + 1)] for part in parts]
+    goal = k - len(parts) + 1
+    # wider thresholds cost more than they save, and their balls much memory
+    radius = min(k, max(2, -(-goal // len(parts)) + 1))
+    balls = [[ball(len(part), r) for r in range(radius + 1)] for part in parts]
 
     def shares(estimate: np.ndarray) -> np.ndarray:
         return 1 + estimate // aim
@@ -172,7 +175,7 @@ def _deal(parts: list[list[int]], counts, k: int, first: int = 0, aim: int = SHA
                 columns = [_unsigned(c.slice(lo, 4096)) for c in batch.columns]
                 fps = columns[0]
                 own = [values(fps, part) for part in parts]
-                costs = np.zeros((len(parts), k + 2, len(fps)))
+                costs = np.zeros((len(parts), radius + 2, len(fps)))
                 near = []
                 for p in range(len(parts)):
                     rings = [estimates[p][_cell(p, own[p][:, None] ^ ring)] for ring in balls[p]]
@@ -181,7 +184,7 @@ def _deal(parts: list[list[int]], counts, k: int, first: int = 0, aim: int = SHA
                     for t, ring in enumerate(rings):
                         total = total + ring.sum(axis=1) + PROBE_COST * ring.shape[1]
                         costs[p, t + 1] = total
-                chosen = allocate(costs, k - len(parts) + 1)
+                chosen = allocate(costs, goal)
                 for p in range(len(parts)):
                     n = shares(near[p][0][:, 0])
                     rows = np.repeat(np.arange(len(fps)), n)
