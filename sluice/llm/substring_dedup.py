@@ -21,7 +21,7 @@ window that covers it also starts in a document with a smaller id.
    window hash, 128 bits, for some deals at a time, so a task holds a few of
    them whatever its partition's size.
 3. The words to remove come back as intervals, are joined to the documents by
-   id, and the texts rebuilt.
+   id and a hash of the text, as rows may share an id, and the texts rebuilt.
 
 Nothing is dropped on an estimate: one that is too high only sends a window to
 the exact grouping.  Null text has no words; a document with a null id is
@@ -163,23 +163,25 @@ def _is_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _merge_runs(doc: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of the words that windows cover, from sorted (doc, first word)."""
+def _merge_runs(doc: np.ndarray, text: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, text, start, end) of the words that windows cover."""
     if not len(doc):
-        return doc, at, at
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + width)])
+        return doc, text, at, at
+    order = np.lexsort((at, text, doc))
+    doc, text, at = doc[order], text[order], at[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (at[1:] > at[:-1] + width)])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(doc)]]) - 1
-    return doc[first], at[first], at[last] + width
+    return doc[first], text[first], at[first], at[last] + width
 
 
 def _batch(columns: list, kinds: tuple) -> pa.RecordBatch:
-    names = ("deal", "doc_id", "start", "stop", "hashes")
+    names = ("deal", "doc_id", "text", "start", "stop", "hashes")
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-_SCHEMA = "deal long, doc_id long, start int, stop int, hashes binary"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+_SCHEMA = "deal long, doc_id long, text long, start int, stop int, hashes binary"
 
 
 def _ask(maps, width: int, bits: int):
@@ -198,7 +200,7 @@ def _ask(maps, width: int, bits: int):
                 ids = np.array([x or 0 for x in batch.column(0).to_pylist()], dtype=np.int64)
             if not len(keep):
                 continue
-            doc, at, hashes, anchors = ids[rows[keep]], at[keep], hashes[keep], anchors[keep]
+            doc, text, at, hashes, anchors = ids[rows[keep]], batch.column(2).to_numpy()[rows[keep]], at[keep], hashes[keep], anchors[keep]
             often = _is_set(often1, one[keep]) & _is_set(often2, two[keep])
             # of equal windows in this batch, only those in its smallest document ask on
             order = np.lexsort((doc, anchors, hashes))
@@ -207,15 +209,13 @@ def _ask(maps, width: int, bits: int):
             least = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
             later = np.zeros(len(doc), dtype=bool)
             later[order] = doc[order] > least
-            d, p = doc[later], at[later]
-            order = np.lexsort((p, d))
-            d, s, e = _merge_runs(d[order], p[order], width)
-            yield _batch([mix64(d.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)).view(np.int64), d, s, e, [None] * len(d)], _KINDS)
+            d, t, s, e = _merge_runs(doc[later], text[later], at[later], width)
+            yield _batch([mix64(d.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)).view(np.int64), d, t, s, e, [None] * len(d)], _KINDS)
             ask = np.flatnonzero(~later)
-            doc, at, hashes, anchors, often = doc[ask], at[ask], hashes[ask], anchors[ask], often[ask]
+            doc, text, at, hashes, anchors, often = doc[ask], text[ask], at[ask], hashes[ask], anchors[ask], often[ask]
             if not len(doc):
                 continue
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (anchors[1:] != anchors[:-1]) | often[1:]])
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (anchors[1:] != anchors[:-1]) | often[1:]])
             first = np.flatnonzero(new)
             stop = np.concatenate([first[1:], [len(doc)]])
             deal = np.where(often[first], mix64(anchors[first] ^ (hashes[first] * np.uint64(3))), anchors[first]).view(np.int64)
@@ -223,48 +223,46 @@ def _ask(maps, width: int, bits: int):
             blobs = [raw[8 * i : 8 * j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
             for lo in range(0, len(first), 50_000):
                 hi = lo + 50_000
-                yield _batch([deal[lo:hi], doc[first[lo:hi]], at[first[lo:hi]], at[first[lo:hi]] + (stop - first)[lo:hi], blobs[lo:hi]], _KINDS)
+                yield _batch([deal[lo:hi], doc[first[lo:hi]], text[first[lo:hi]], at[first[lo:hi]], at[first[lo:hi]] + (stop - first)[lo:hi], blobs[lo:hi]], _KINDS)
 
     return run
 
 
 def _settle(width: int):
-    names = ["doc_id", "start", "stop"]
+    names = ["doc_id", "text", "start", "stop"]
 
     def run(batches):
         for batch in whole_keys(batches, 4 << 20):
-            asked = batch.column(4).is_valid()
+            asked = batch.column(5).is_valid()
             known = batch.filter(pc.invert(asked))
             if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(i) for i in (1, 2, 3)], names=names)
+                yield pa.RecordBatch.from_arrays([known.column(i) for i in (1, 2, 3, 4)], names=names)
             rest = batch.filter(asked)
             if not rest.num_rows:
                 continue
-            deal, doc, start, stop = (rest.column(i).to_numpy() for i in range(4))
+            deal, doc, text, start, stop = (rest.column(i).to_numpy() for i in range(5))
             n = (stop - start).astype(np.int64)
-            hashes = np.frombuffer(b"".join(rest.column(4).to_pylist()), dtype="<u8")
+            hashes = np.frombuffer(b"".join(rest.column(5).to_pylist()), dtype="<u8")
             at = np.repeat(start, n) + np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
-            doc, deal = np.repeat(doc, n), np.repeat(deal, n)
+            doc, text, deal = np.repeat(doc, n), np.repeat(text, n), np.repeat(deal, n)
             order = np.lexsort((doc, deal, hashes))
             h, k, d = hashes[order], deal[order], doc[order]
             head = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
             later = d > d[np.flatnonzero(head)][np.cumsum(head) - 1]
-            d, p = d[later], at[order][later]
-            order = np.lexsort((p, d))
-            d, s, e = _merge_runs(d[order], p[order], width)
-            yield pa.RecordBatch.from_arrays([pa.array(d, type=pa.int64()), pa.array(s, type=pa.int32()), pa.array(e, type=pa.int32())], names=names)
+            d, t, s, e = _merge_runs(d[later], text[order][later], at[order][later], width)
+            yield pa.RecordBatch.from_arrays([pa.array(d, type=pa.int64()), pa.array(t, type=pa.int64()), pa.array(s, type=pa.int32()), pa.array(e, type=pa.int32())], names=names)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
-    """(doc_id, spans): the spans of words to remove, as an array of (start, stop), for documents that have some."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    """(doc_id, text, spans): the spans of words to remove, as an array of (start, stop), for documents that have some; ``text`` is a hash."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("hash"))
     bits = sketch_bits(docs)
     maps = docs.sparkSession.sparkContext.broadcast(repeated_anchors(rows, width, bits))
     asked = rows.mapInArrow(_ask(maps, width, bits), _SCHEMA)
-    spans = asked.repartition("deal").sortWithinPartitions("deal").mapInArrow(_settle(width), "doc_id long, start int, stop int")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = asked.repartition("deal").sortWithinPartitions("deal").mapInArrow(_settle(width), "doc_id long, text long, start int, stop int")
+    return spans.groupBy("doc_id", "text").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _kept(words: list[bytes], spans) -> list[bytes]:
@@ -299,12 +297,13 @@ def _apply(with_text: bool):
 def dedup(docs: DataFrame, width: int = 50, *, with_text: bool = True) -> DataFrame:
     """Each row of ``docs`` but its text as struct ``_sl_row``, n_words, n_removed, kept_sha256 and the text that stays as ``_sl_kept``.
 
-    The rows meet their spans in one shuffle by id; an id's spans are bounded by its text.
+    The rows meet their spans in one shuffle by id and text; their spans are bounded by the text.
     """
-    spans = repeated_spans(docs, width).select(F.col("doc_id").alias("_sl_id"), F.col("spans").alias("_sl_spans"))
+    spans = repeated_spans(docs, width).select(F.col("doc_id").alias("_sl_id"), F.col("text").alias("_sl_hash"), F.col("spans").alias("_sl_spans"))
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
     rows = docs.select(others.alias("_sl_row"), F.col("text").alias("_sl_text"))
-    both = rows.join(spans, F.col("_sl_row.doc_id").cast("long") == F.col("_sl_id"), "left").select("_sl_row", "_sl_text", "_sl_spans")
+    same = (F.col("_sl_row.doc_id").cast("long") == F.col("_sl_id")) & (F.xxhash64("_sl_text") == F.col("_sl_hash"))
+    both = rows.join(spans, same, "left").select("_sl_row", "_sl_text", "_sl_spans")
     kind = rows.schema["_sl_row"].dataType.simpleString()
     return both.mapInArrow(_apply(with_text), f"_sl_row {kind}, n_words long, n_removed long, kept_sha256 string" + ", _sl_kept string" * with_text)
 
