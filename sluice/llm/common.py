@@ -6,11 +6,13 @@ what ``bytes.split()`` yields, and what :func:`split_words` finds with numpy.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -25,24 +27,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder.
+
+    Where neither is set, a temporary folder serves a local master; a cluster has none and is refused.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        existing = spark.sparkContext.getCheckpointDir()
-        base = existing or "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sluice-"))
+        base = context.getCheckpointDir()
+    return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}/{name}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority that Spark resolves it to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of :func:`scratch_path` with what it holds."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Computed once, written to the shared folder and cut from its lineage."""
-    shared_dir(df.sparkSession)
+    """Computed once, written to the shared folder and cut from its lineage.
+
+    Spark deletes the files once nothing refers to them, unless the session says otherwise.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(spark))
+    context._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
@@ -51,6 +77,19 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def small_batches(batches, column: int = -1, rows: int = 4096, size: int = 2 << 20):
+    """Slices of at most ``rows`` rows and about ``size`` bytes of a string or binary column; a longer row is one by itself."""
+    for batch in batches:
+        lo, n = 0, batch.num_rows
+        texts = batch.column(column % batch.num_columns)
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while lo < n:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, min(n, lo + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def whole_keys(batches, limit: int = 8 << 20):
     """Batches of about ``limit`` bytes, or one key, from batches sorted by their first column, an integer; no key is split."""
     held, size, least = [], 0, limit

@@ -3,22 +3,30 @@
 A target model is counted over the documents whose ids are given, a background
 model over all documents.  Both are bigram models over one vocabulary, the
 ``vocabulary`` most frequent words of all documents (others are one unknown
-word), with the same order, smoothing and cells.  Each token's loss under either
-model is -log2 p(word | word before it); a document's score is the mean
-difference, target less background: the lower, the more it is like the target.
+word), with the same order and smoothing.  Each token's loss under either model
+is -log2 p(word | word before it); a document's score is the mean difference,
+target less background: the lower, the more it is like the target.
 
     p1(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | h)  = (min(c(h, w), c(w), c(h)) + MU p1(w)) / (c(h) + MU)
-
-Bigrams are counted in ``CELLS`` hashed cells, so that a model has a fixed size
-however large the corpus is; a shared cell can only be too high, and is held
-down by the counts of its words, which are exact.  The model, some 20 MB, is
-broadcast.  Counts come from every word of every document: each task sends the
-cells that it has by cell range, and these are added up by range.
-
-Null and empty texts have no tokens and null losses; documents that repeat an
-id are target documents together; null ids are never targets; an empty table
-gives no rows.  Other columns are ignored.
+    p(w | h)  = (c(h, w) + MU p1(w)) / (c(h) + MU)
+
+All counts are exact and come from every word of every document, and those of
+the document itself are left out of both models while it is scored, so that a
+score doesn't tell whether a document was counted.  With them or without, the
+probabilities after any word sum to 1.
+
+1. The vocabulary is counted, and each document becomes a row of word ids.
+2. Bigrams are counted in each task and summed by bigram, for both models in one
+   row.  This table grows with the corpus and stays distributed; the counts of
+   single words, one row for each of the vocabulary, follow from it.
+3. Documents ask for the counts of their bigrams.  The most frequent ones, at
+   most ``HOT``, are broadcast, so that no bigram that comes everywhere is asked
+   for; the others meet their counts in a join by bigram.
+
+Texts are read in pieces of some MB; a longer one is a piece by itself.  Null and
+empty texts have no tokens and null losses; documents that repeat an id are
+target documents together; null ids are never targets; an empty table gives no
+rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable
+from sluice.llm.common import durable, small_batches
 
-#: Words of the shared vocabulary, cells for bigrams, weight of the unigram model, cells of a range.
-VOCABULARY, CELLS, MU, RANGE = 50_000, 1_048_573, 2.0, 1 << 16
-#: Distinct words that a task holds before it sends their counts.
-HELD_WORDS = 300_000
-SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+#: Words of the shared vocabulary, weight of the unigram model, and bigrams whose counts are broadcast at most.
+VOCABULARY, MU, HOT = 50_000, 2.0, 1 << 19
+#: Distinct words and bigrams that a task holds before it sends their counts.
+HELD_WORDS, HELD_BIGRAMS = 300_000, 1 << 21
+MODELS = ("target", "background")
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
@@ -50,7 +58,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
             held.clear()
             return batch
 
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 if text:
                     held.update(text.split())
@@ -59,134 +67,193 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
         yield out()
 
     words = durable(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    # a short histogram of the counts' magnitudes tells which words can be among the first, so that only these are sorted
-    magnitude = F.floor(16 * F.log2("n"))
-    least, held = None, 0
-    for r in sorted(words.groupBy(magnitude.alias("m")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.m):
-        least, held = r.m, held + r.words
+    least, _ = _threshold(words, size)
+    top = words.where(F.floor(16 * F.log2("n")) >= F.lit(least)).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()["word"].to_pylist()
+    return {bytes(w): i + 1 for i, w in enumerate(top)}
+
+
+def _threshold(counted: DataFrame, size: int) -> tuple[int, int]:
+    """Magnitudes of n from which there are at least, and at most, ``size`` rows; tells from a short histogram which rows can be among the first."""
+    held = 0
+    enough = few = 1 << 30
+    for r in sorted(counted.groupBy(F.floor(16 * F.log2("n")).alias("m")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.m):
+        held += r["rows"]
+        enough = r.m
+        if held <= size:
+            few = r.m
         if held >= size:
             break
-    words = words.where(magnitude >= F.lit(least))
-    top = words.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()["word"].to_pylist()
-    return {bytes(w): i + 1 for i, w in enumerate(top)}
+    return enough, few
 
 
-def _ids(texts: list[bytes | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all words, of the words before them, and each text's number of words."""
-    get, start = known.get, len(known) + 1
-    words = [(t or b"").split() for t in texts]
-    counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ids = np.fromiter((get(w, 0) for ws in words for w in ws), dtype=np.int64, count=int(counts.sum()))
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    first = (np.cumsum(counts) - counts)[counts > 0]
-    before[first] = start
-    return ids, before, counts
+def encoded(docs: DataFrame, targets: DataFrame, known) -> DataFrame:
+    """rid (a number of the row), doc_id, target and the ids of its words, unsigned 32-bit, of every document."""
 
+    def run(batches):
+        get = known.value.get
+        for batch in small_batches(batches):
+            blobs = [np.array([get(w, 0) for w in (t or b"").split()], dtype="<u4").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, type=pa.binary())], names=["doc_id", "ids"])
 
-def _cells(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return (before * 1_000_003 + ids * 7_919) % CELLS
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, ids binary")
+    ids = targets.select(F.col("doc_id").cast("long").alias("_t")).where("_t is not null").distinct()
+    # labels grow with the documents, so they are never broadcast; only ids of words are shuffled, not texts
+    marked = rows.join(ids.hint("merge"), F.col("doc_id") == F.col("_t"), "left")
+    return durable(marked.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("_t").isNotNull().alias("target"), "ids"))
 
 
-def _pieces(batch: pa.RecordBatch, rows: int = 512):
-    for lo in range(0, batch.num_rows, rows):
-        yield batch.slice(lo, rows)
+def _tokens(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word before (``width`` - 1 at the start) and word of each token; ``ids`` is the last column."""
+    blobs = batch.column(batch.num_columns - 1).to_pylist()
+    n = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+    ids = np.frombuffer(b"".join(blobs), dtype="<u4").astype(np.int64)
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = width - 1
+    return np.repeat(np.arange(len(n)), n), before, ids
 
 
-def models(docs: DataFrame, known) -> np.ndarray:
-    """Counts [target or background, cells + words + words before]; ``docs`` has text and the flag target."""
-    width = len(known.value) + 2
-    total = CELLS + 2 * width
+def bigrams(coded: DataFrame, width: int) -> DataFrame:
+    """bigram (word before * width + word), target, background: exact counts of both models."""
 
     def count(batches):
-        sums = np.zeros((2, total), dtype=np.int64)
-        for whole in batches:
-            for batch in _pieces(whole):
-                ids, before, n = _ids(batch.column(0).cast(pa.binary()).to_pylist(), known.value)
-                target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), n)
-                for m, pick in ((0, target), (1, slice(None))):
-                    i, h = ids[pick], before[pick]
-                    sums[m, :CELLS] += np.bincount(_cells(h, i), minlength=CELLS)
-                    sums[m, CELLS : CELLS + width] += np.bincount(i, minlength=width)
-                    sums[m, CELLS + width :] += np.bincount(h, minlength=width)
-        for k, lo in enumerate(range(0, total, RANGE)):
-            part = sums[:, lo : lo + RANGE]
-            at = np.flatnonzero(part[1])
-            if len(at):
-                blobs = [at.astype("<u4").tobytes(), part[0, at].astype("<i8").tobytes(), part[1, at].astype("<i8").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), *(pa.array([b], type=pa.binary()) for b in blobs)], names=["part", "at", "target", "background"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, at, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                into = sums.setdefault(k, np.zeros((2, RANGE), dtype=np.int64))
-                for m, blob in enumerate(both):
-                    into[m, np.frombuffer(at, dtype="<u4")] += np.frombuffer(blob, dtype="<i8")
-        for k, into in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([into.astype("<i8").tobytes()], type=pa.binary())], names=["part", "counts"])
-
-    sent = docs.mapInArrow(count, "part int, at binary, target binary, background binary")
-    out = np.zeros((2, -(-total // RANGE) * RANGE), dtype=np.int64)
-    for r in sent.repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
-        out[:, r.part * RANGE : (r.part + 1) * RANGE] = np.frombuffer(r.counts, dtype="<i8").reshape(2, -1)
-    return out[:, :total]
-
-
-def losses(counts: np.ndarray, width: int, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Bits of each token under one model."""
-    cells, words, histories = counts[:CELLS], counts[CELLS : CELLS + width], counts[CELLS + width :]
-    # ids run from 0 (unknown) to width - 2, the last one stands for the start of a text
-    p1 = (words[ids] + 1) / (words.sum() + width - 1)
-    both = np.minimum(np.minimum(cells[_cells(before, ids)], words[ids]), histories[before])
-    return -np.log2((both + MU * p1) / (histories[before] + MU))
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
-
-def score(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY) -> DataFrame:
+        def out():
+            keys, where = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
+            sums = [np.bincount(where, weights=np.concatenate(c), minlength=len(keys)).astype(np.int64) for c in list(zip(*held, strict=True))[1:]]
+            held[:] = [(keys, *sums)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, *sums)], names=["bigram", *MODELS])
+
+        for batch in small_batches(batches):
+            row, before, ids = _tokens(batch, width)
+            keys, where, n = np.unique(before * width + ids, return_inverse=True, return_counts=True)
+            target = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append((keys, np.bincount(where, weights=target[row], minlength=len(keys)).astype(np.int64), n))
+            size += len(keys)
+            if size > HELD_BIGRAMS:
+                batch = out()
+                size = len(held[0][0])
+                if 2 * size > HELD_BIGRAMS:
+                    yield batch
+                    held.clear()
+                    size = 0
+        if held:
+            yield out()
+
+    sent = coded.select("target", "ids").mapInArrow(count, "bigram long, target long, background long")
+    return durable(sent.groupBy("bigram").agg(*(F.sum(m).alias(m) for m in MODELS)))
+
+
+def word_counts(counted: DataFrame, width: int) -> np.ndarray:
+    """Counts [target or background, word or word before, id]: at most ``width`` rows of each kind reach the driver."""
+    out = np.zeros((2, 2, width), dtype=np.int64)
+    for kind, name in enumerate((F.col("bigram") % width, F.floor(F.col("bigram") / width))):
+        found = counted.groupBy(name.cast("int").alias("id")).agg(*(F.sum(m).alias(m) for m in MODELS)).toArrow()
+        for m, model in enumerate(MODELS):
+            out[m, kind, found["id"].to_numpy()] = found[model].to_numpy()
+    return out
+
+
+def _own(row: np.ndarray, key: np.ndarray, base: int) -> np.ndarray:
+    """How often each token's key comes in its row."""
+    _, where, n = np.unique(row * base + key, return_inverse=True, return_counts=True)
+    return n[where]
+
+
+def score(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score; ``targets`` has the column doc_id."""
-    context = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    spark = docs.sparkSession
+    context = spark.sparkContext
     known = context.broadcast(vocabulary(docs, size))
+    # ids run from 0 (unknown) to width - 2, the last one stands for the start of a text
     width = len(known.value) + 2
-    ids = targets.select(F.col("doc_id").cast("long").alias("_t")).where("_t is not null").distinct()
-    # labels grow with the documents, so they are never broadcast
-    marked = docs.join(ids.hint("merge"), F.col("doc_id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("target"))
-    counts = context.broadcast(models(marked, known))
-
-    def run(batches):
-        for whole in batches:
-            for batch in _pieces(whole):
-                i, h, n = _ids(batch.column(1).cast(pa.binary()).to_pylist(), known.value)
-                ends = np.cumsum(n)
-                columns = []
-                for m in (0, 1):
-                    upto = np.concatenate([[0.0], np.cumsum(losses(counts.value[m], width, i, h))])
-                    columns.append((upto[ends] - upto[ends - n]) / np.maximum(n, 1))
-                none = n == 0
-                doubles = [pa.array(c, type=pa.float64(), mask=none) for c in (*columns, columns[0] - columns[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *doubles], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.mapInArrow(run, SCHEMA)
+    coded = encoded(docs, targets, known)
+    counted = bigrams(coded, width)
+    singles = word_counts(counted, width)
+    _, few = _threshold(counted.select(F.col("background").alias("n")), hot)
+    top = counted.where(F.floor(16 * F.log2("background")) >= F.lit(few)).toArrow()
+    order = np.argsort(top["bigram"].to_numpy())
+    shared = context.broadcast((singles, *(top[c].to_numpy()[order] for c in ("bigram", *MODELS))))
+    totals = singles[:, 0].sum(axis=1)
+
+    def look_up(batches):
+        """For each document and bigram of it (row, bigram, n, and whether it is among the broadcast ones) what scoring needs."""
+        keys = shared.value[1]
+        for batch in small_batches(batches):
+            row, before, ids = _tokens(batch, width)
+            bigram = before * width + ids
+            own_word, own_before = _own(row, ids, width), _own(row, before, width)
+            _, at, n = np.unique(row * (width * width) + bigram, return_index=True, return_counts=True)
+            row, before, ids, bigram, own_word, own_before = (x[at] for x in (row, before, ids, bigram, own_word, own_before))
+            place = np.minimum(np.searchsorted(keys, bigram), max(len(keys) - 1, 0))
+            known_here = keys[place] == bigram if len(keys) else np.zeros(len(bigram), dtype=bool)
+            yield batch, row, before, ids, bigram, n, own_word, own_before, place, known_here
+
+    def near(batches):
+        """A row for each document: the sums that need no further count."""
+        words, _, *hot_counts = shared.value
+        for batch, row, before, ids, _, n, own_word, own_before, place, here in look_up(batches):
+            size = np.bincount(row, weights=n, minlength=batch.num_rows).astype(np.int64)
+            target = batch.column(2).to_numpy(zero_copy_only=False)
+            columns = []
+            for m in (0, 1):
+                own = target[row].astype(np.int64) if m == 0 else np.ones(len(row), dtype=np.int64)
+                under = np.log2(words[m, 1][before] - own * own_before + MU)
+                p1 = (words[m, 0][ids] - own * own_word + 1) / (totals[m] - own * size[row] + width - 1)
+                bits = under.copy()
+                bits[here] -= np.log2(hot_counts[m][place[here]] - (own * n)[here] + MU * p1[here])
+                columns.append(np.bincount(row, weights=n * bits, minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), *(pa.array(c) for c in columns)], names=["rid", "doc_id", "n_tokens", *MODELS])
+
+    def far(batches):
+        """A row for each document and bigram whose count is asked for; documents of the target have a negative size."""
+        for batch, row, _, _, bigram, n, own_word, _, _, here in look_up(batches):
+            size = np.bincount(row, weights=n, minlength=batch.num_rows).astype(np.int64)
+            size *= np.where(batch.column(2).to_numpy(zero_copy_only=False), -1, 1)
+            asks = np.flatnonzero(~here)
+            rid = batch.column(0).to_numpy()
+            columns = [bigram[asks], rid[row[asks]], n[asks].astype(np.int32), own_word[asks].astype(np.int32), size[row[asks]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bigram", "rid", "n", "own_word", "size"])
+
+    coded_rows = coded.select("rid", "doc_id", "target", "ids")
+    known_sums = coded_rows.mapInArrow(near, "rid long, doc_id long, n_tokens long, target double, background double")
+    asked = coded_rows.mapInArrow(far, "bigram long, rid long, n int, own_word int, size long").withColumnRenamed("bigram", "_b")
+    # one row for each word of the vocabulary
+    by_word = spark.createDataFrame(pa.table({"word": np.arange(width), **{f"word_{name}": singles[m, 0] for m, name in enumerate(MODELS)}}))
+    rare = counted.where(F.floor(16 * F.log2("background")) < F.lit(few))
+    found = asked.join(rare.hint("merge"), F.col("_b") == F.col("bigram")).join(F.broadcast(by_word), F.col("bigram") % width == F.col("word"))
+    bits = []
+    for m, name in enumerate(MODELS):
+        own = F.when(F.col("size") < 0, 1).otherwise(0) if m == 0 else F.lit(1)
+        p1 = (F.col(f"word_{name}") - own * F.col("own_word") + 1) / (F.lit(int(totals[m]) + width - 1) - own * F.abs("size"))
+        bits.append((-F.col("n") * F.log2(F.col(name) - own * F.col("n") + MU * p1)).alias(f"_{name}"))
+    asked_sums = found.select("rid", *bits).select("rid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), *(F.col(f"_{name}").alias(name) for name in MODELS))
+    sums = known_sums.union(asked_sums).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(name).alias(name) for name in MODELS))
+    means = [F.when(F.col("n_tokens") > 0, F.col(name) / F.col("n_tokens")).alias(f"{name}_loss") for name in MODELS]
+    return sums.select("doc_id", "n_tokens", *means).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
-    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target FROM documents),
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false)::INT AS target FROM documents),
 t AS (SELECT rid, target, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
 v AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS id FROM t GROUP BY w QUALIFY id <= {VOCABULARY}),
 n AS (SELECT count(*) AS v FROM v),
 x AS (SELECT rid, target, i, coalesce(v.id, 0) AS w FROM t LEFT JOIN v ON t.w = v.w),
-y AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY rid ORDER BY i), (SELECT v + 1 FROM n)) AS h FROM x),
-z AS (SELECT *, (h * 1000003 + w * 7919) % {CELLS} AS c FROM y),
-cc AS (SELECT c, count(*) AS b, count(*) FILTER (target) AS t FROM z GROUP BY c),
-cw AS (SELECT w, count(*) AS b, count(*) FILTER (target) AS t FROM z GROUP BY w),
-ch AS (SELECT h, count(*) AS b, count(*) FILTER (target) AS t FROM z GROUP BY h),
-s AS (SELECT count(*) AS b, count(*) FILTER (target) AS t FROM z),
-l AS (SELECT z.rid,
-    -log2((least(cc.t, cw.t, ch.t) + {MU} * (cw.t + 1) / (s.t + n.v + 1)) / (ch.t + {MU})) AS lt,
-    -log2((least(cc.b, cw.b, ch.b) + {MU} * (cw.b + 1) / (s.b + n.v + 1)) / (ch.b + {MU})) AS lb
-  FROM z JOIN cc USING (c) JOIN cw ON cw.w = z.w JOIN ch ON ch.h = z.h, s, n),
-m AS (SELECT rid, avg(lt) AS lt, avg(lb) AS lb FROM l GROUP BY rid)
+y AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY rid ORDER BY i), -1) AS h FROM x),
+k AS (SELECT rid, target, h, w, count(*) AS k, sum(count(*)) OVER (PARTITION BY rid, w) AS kw,
+    sum(count(*)) OVER (PARTITION BY rid, h) AS kh, sum(count(*)) OVER (PARTITION BY rid) AS kn FROM y GROUP BY rid, target, h, w),
+cc AS (SELECT h, w, sum(k) AS b, sum(k * target) AS t FROM k GROUP BY h, w),
+cw AS (SELECT w, sum(b) AS b, sum(t) AS t FROM cc GROUP BY w),
+ch AS (SELECT h, sum(b) AS b, sum(t) AS t FROM cc GROUP BY h),
+s AS (SELECT sum(b) AS b, sum(t) AS t FROM cc),
+l AS (SELECT k.rid, k.k, k.kn,
+    -log2((cc.t - k.k * target + {MU} * (cw.t - kw * target + 1) / (s.t - kn * target + n.v + 1)) / (ch.t - kh * target + {MU})) AS lt,
+    -log2((cc.b - k.k + {MU} * (cw.b - kw + 1) / (s.b - kn + n.v + 1)) / (ch.b - kh + {MU})) AS lb
+  FROM k JOIN cc ON cc.h = k.h AND cc.w = k.w JOIN cw ON cw.w = k.w JOIN ch ON ch.h = k.h, s, n),
+m AS (SELECT rid, sum(k * lt) / any_value(kn) AS lt, sum(k * lb) / any_value(kn) AS lb FROM l GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(lt - lb, 6) AS score
 FROM d LEFT JOIN m USING (rid)
 """

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import hash_words, input_bytes, mix64, powers, split_words, text_chunks, whole_keys
+from sluice.llm.common import hash_words, input_bytes, mix64, powers, small_batches, split_words, text_chunks, whole_keys
 
 #: Cells a row of the sketch: from 2**LEAST_BITS to 2**MOST_BITS (64 MB a bit map), by the input's bytes.
 LEAST_BITS, MOST_BITS, SHARD_BITS = 20, 29, 18
@@ -100,18 +100,6 @@ def _cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchors >> np.uint64(64 - bits)).astype(np.int64), (mix64(anchors + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _small_batches(batches, rows: int = 4096, size: int = 2 << 20):
-    """Slices of at most ``rows`` rows and about ``size`` bytes; a longer row is one by itself."""
-    for batch in batches:
-        lo, n = 0, batch.num_rows
-        ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        while lo < n:
-            before = int(ends[lo - 1]) if lo else 0
-            hi = max(lo + 1, min(n, lo + rows, int(np.searchsorted(ends, before + size, side="right"))))
-            yield batch.slice(lo, hi - lo)
-            lo = hi
-
-
 def sketch_bits(docs: DataFrame) -> int:
     """log2 of the cells a row: some eight for each expected anchor (of about 16 million a GB of Parquet)."""
     return int(min(MOST_BITS, max(LEAST_BITS, int(input_bytes(docs) / 8).bit_length())))
@@ -122,7 +110,7 @@ def repeated_anchors(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     shard_bits = min(bits, SHARD_BITS)
 
     def count(batches):
-        for batch in _small_batches(batches):
+        for batch in small_batches(batches, 1):
             anchors = []
             for _, _, _, a in windows(batch.column(1), width):
                 anchors.append(a[np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))])
@@ -187,7 +175,7 @@ _SCHEMA = "deal long, doc_id long, text long, start int, stop int, hashes binary
 def _ask(maps, width: int, bits: int):
     def run(batches):
         (twice1, often1), (twice2, often2) = maps.value
-        for batch in _small_batches(batches):
+        for batch in small_batches(batches, 1):
             found = _all_windows(batch.column(1), width)
             if found is None:
                 continue

@@ -1,14 +1,15 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import rows
+from conftest import SF, rows
 from pyspark.sql import functions as F
 from sluice.llm import chat_tree, components, knn, lm_scoring, mixing, near, packing, pigeonhole, quality, simhash, substring_dedup, token_counts, token_files
-from sluice.llm.common import whole_keys
+from sluice.llm.common import table, whole_keys
 from sluice.llm.tokens import default_vocabulary, encoder
 
 SCHEMA = "doc_id long, text string, source string, size long, n_words long, value long, _row string"
@@ -290,15 +291,53 @@ def test_scores_prefer_the_target(spark):
 
 
 def test_models_are_distributions(spark):
-    docs = spark.createDataFrame([(1, "a b a c"), (2, "b b d")], "doc_id long, text string")
-    context = spark.sparkContext
-    known = context.broadcast(lm_scoring.vocabulary(docs, 2))
-    assert known.value == {b"b": 1, b"a": 2}
-    counts = lm_scoring.models(docs.select("text", F.lit(True).alias("target")), known)
-    assert (counts[0] == counts[1]).all()
-    width = 4
-    p = [2.0 ** -lm_scoring.losses(counts[0], width, np.arange(3), np.full(3, h)) for h in range(4)]
-    assert all(sum(x) <= 1 + 1e-9 for x in p)
+    """Both models, over every word that comes before another, at the size of the tests' tables."""
+    docs = table(spark, SF, "documents")
+    known = spark.sparkContext.broadcast(lm_scoring.vocabulary(docs, 3000))
+    width = len(known.value) + 2
+    counted = lm_scoring.bigrams(lm_scoring.encoded(docs, table(spark, SF, "labels").where("quality = 1"), known), width)
+    singles = lm_scoring.word_counts(counted, width)
+    found = counted.toArrow()
+    before = found["bigram"].to_numpy() // width
+    for m, name in enumerate(lm_scoring.MODELS):
+        p1 = (singles[m, 0, : width - 1] + 1) / (singles[m, 0].sum() + width - 1)
+        sums = np.bincount(before, weights=found[name].to_numpy(), minlength=width)
+        assert p1.sum() == pytest.approx(1) and singles[m, 0].sum() == sums.sum() == singles[m, 1].sum()
+        assert (sums + lm_scoring.MU * p1.sum()) / (singles[m, 1] + lm_scoring.MU) == pytest.approx(np.ones(width))
+
+
+def brute_scores(docs, targets, size):
+    from math import log2
+
+    words = [(t or "").encode().split() for _, t in docs]
+    top = sorted(Counter(w for ws in words for w in ws).items(), key=lambda x: (-x[1], x[0]))[:size]
+    names = {w for w, _ in top}
+    pairs = [list(zip([None, *ws], ws, strict=False)) for ws in ([w if w in names else b"" for w in ws] for ws in words)]
+    out = []
+    for i, (d, _) in enumerate(docs):
+        losses = []
+        for members in ([j for j, x in enumerate(docs) if x[0] in targets], range(len(docs))):
+            rest = [p for j in members if j != i for p in pairs[j]]
+            both, one, first = Counter(rest), Counter(w for _, w in rest), Counter(h for h, _ in rest)
+            p1 = {w: (one[w] + 1) / (len(rest) + len(names) + 1) for w in (*names, b"")}
+            losses.append([-log2((both[h, w] + 2 * p1[w]) / (first[h] + 2)) for h, w in pairs[i]])
+        n = len(pairs[i])
+        t, b = (sum(x) / n if n else None for x in losses)
+        out.append((d, n, t, b, t - b if n else None))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 7, 1 << 19])
+def test_scores_leave_the_own_document_out(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm_scoring, "HELD_BIGRAMS", 20)
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 60}" for _ in range(rng.randrange(40)))) for i in range(60)]
+    docs += [docs[3], docs[3], (4, "w1 w2 w1 w2"), (None, "w1 w1 w3"), (70, None), (71, " ")]
+    targets = set(range(1, 60, 4))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i in [*targets, 1, None]], "doc_id long")
+    rounded = lambda rs: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rs), key=repr)
+    assert rounded(map(tuple, lm_scoring.score(frame, ids, 25, hot).collect())) == rounded(brute_scores(docs, targets, 25))
 
 
 @pytest.mark.parametrize("limit", [1, 64, 1 << 20])
