@@ -16,12 +16,14 @@ score doesn't tell whether a document was counted.  With them or without, the
 probabilities after any word sum to 1.
 
 1. The vocabulary is counted, and each document becomes a row of word ids.
-2. Bigrams are counted in each task and summed by bigram, for both models in one
-   row.  This table grows with the corpus and stays distributed; the counts of
-   single words, one row for each of the vocabulary, follow from it.
+2. Bigrams are counted in each task and summed by shard, for both models in one
+   row.  Shards are ranges of scattered bigram numbers, as many as the corpus has
+   millions of words; this table grows with the corpus and stays distributed.  The
+   counts of single words, one row for each of the vocabulary, follow from it.
 3. Documents ask for the counts of their bigrams.  The most frequent ones, at
    most ``HOT``, are broadcast, so that no bigram that comes everywhere is asked
-   for; the others meet their counts in a join by bigram.
+   for; the others meet the counts of their shard, which a task holds one at a time
+   while the questions stream by.
 
 Texts are read in pieces of some MB; a longer one is a piece by itself.  Null and
 empty texts have no tokens and null losses; documents that repeat an id are
@@ -31,6 +33,7 @@ rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -42,13 +45,14 @@ from sluice.llm.common import durable, small_batches
 
 #: Words of the shared vocabulary, weight of the unigram model, and bigrams whose counts are broadcast at most.
 VOCABULARY, MU, HOT = 50_000, 2.0, 1 << 19
-#: Distinct words and bigrams that a task holds before it sends their counts.
-HELD_WORDS, HELD_BIGRAMS = 300_000, 1 << 21
+#: Distinct words and bigrams that a task holds before it sends their counts, and words of the corpus for each shard.
+HELD_WORDS, HELD_BIGRAMS, TOKENS_A_SHARD = 300_000, 1 << 21, 1 << 20
+_ODD = 0x9E3779B97F4A7C15
 MODELS = ("target", "background")
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Ids from 1 of the most frequent words, ties by bytes."""
+def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[dict[bytes, int], int]:
+    """Ids from 1 of the most frequent words, ties by bytes, and the number of all words."""
 
     def count(batches):
         held: Counter[bytes] = Counter()
@@ -67,32 +71,29 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
         yield out()
 
     words = durable(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    least, _ = _threshold(words, size)
-    top = words.where(F.floor(16 * F.log2("n")) >= F.lit(least)).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()["word"].to_pylist()
-    return {bytes(w): i + 1 for i, w in enumerate(top)}
+    # a short histogram of the counts' magnitudes tells which words can be among the first, so that only these are sorted
+    magnitude = F.floor(16 * F.log2("n"))
+    least, held, tokens = 0, 0, 0
+    for r in sorted(words.groupBy(magnitude.alias("m")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect(), key=lambda r: -r.m):
+        tokens += r["n"]
+        if held < size:
+            least, held = r.m, held + r.words
+    top = words.where(magnitude >= F.lit(least)).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()["word"].to_pylist()
+    return {bytes(w): i + 1 for i, w in enumerate(top)}, tokens
 
 
-def _threshold(counted: DataFrame, size: int) -> tuple[int, int]:
-    """Magnitudes of n from which there are at least, and at most, ``size`` rows; tells from a short histogram which rows can be among the first."""
-    held = 0
-    enough = few = 1 << 30
-    for r in sorted(counted.groupBy(F.floor(16 * F.log2("n")).alias("m")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.m):
-        held += r["rows"]
-        enough = r.m
-        if held <= size:
-            few = r.m
-        if held >= size:
-            break
-    return enough, few
+def _kind(width: int) -> np.dtype:
+    """The type of a stored word id."""
+    return np.dtype("<u2" if width <= 1 << 16 else "<u4")
 
 
 def encoded(docs: DataFrame, targets: DataFrame, known) -> DataFrame:
-    """rid (a number of the row), doc_id, target and the ids of its words, unsigned 32-bit, of every document."""
+    """rid (a number of the row), doc_id, target and the ids of its words, of every document."""
 
     def run(batches):
-        get = known.value.get
+        get, kind = known.value.get, _kind(len(known.value) + 2)
         for batch in small_batches(batches):
-            blobs = [np.array([get(w, 0) for w in (t or b"").split()], dtype="<u4").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            blobs = [np.array([get(w, 0) for w in (t or b"").split()], dtype=kind).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, type=pa.binary())], names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, ids binary")
@@ -105,55 +106,169 @@ def encoded(docs: DataFrame, targets: DataFrame, known) -> DataFrame:
 def _tokens(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, word before (``width`` - 1 at the start) and word of each token; ``ids`` is the last column."""
     blobs = batch.column(batch.num_columns - 1).to_pylist()
-    n = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
-    ids = np.frombuffer(b"".join(blobs), dtype="<u4").astype(np.int64)
+    kind = _kind(width)
+    n = np.array([len(b) // kind.itemsize for b in blobs], dtype=np.int64)
+    ids = np.frombuffer(b"".join(blobs), dtype=kind).astype(np.int64)
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[(np.cumsum(n) - n)[n > 0]] = width - 1
     return np.repeat(np.arange(len(n)), n), before, ids
 
 
-def bigrams(coded: DataFrame, width: int) -> DataFrame:
-    """bigram (word before * width + word), target, background: exact counts of both models."""
+def pack(values: np.ndarray) -> bytes:
+    """Non-negative integers as compressed planes of bytes, as many as the largest needs."""
+    size = (int(values.max(initial=0)).bit_length() + 7) // 8
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size]
+    return zlib.compress(len(values).to_bytes(8, "little") + planes.T.tobytes(), 1)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    raw = zlib.decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        planes = np.frombuffer(raw, dtype=np.uint8, offset=8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.reshape(-1).view("<i8")
+
+
+class Shards:
+    """Bigrams (word before * width + word) as scattered numbers, and these in ranges of equal width."""
+
+    def __init__(self, width: int, tokens: int):
+        self.width = width
+        self.bits = (width * width - 1).bit_length()
+        self.shard_bits = min(self.bits, (tokens // TOKENS_A_SHARD).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.back = pow(_ODD, -1, 1 << 64)
+
+    def scatter(self, bigram: np.ndarray) -> np.ndarray:
+        return (bigram.astype(np.uint64) * np.uint64(_ODD) & np.uint64(self.mask)).astype(np.int64)
+
+    def gather(self, scattered: np.ndarray) -> np.ndarray:
+        return (scattered.astype(np.uint64) * np.uint64(self.back) & np.uint64(self.mask)).astype(np.int64)
+
+    def cut(self, scattered: np.ndarray):
+        """(shard, from, to) of sorted numbers."""
+        shard = scattered >> (self.bits - self.shard_bits)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist()
+        return [(int(shard[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=0))
+
+
+def _summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Keys and sums of (keys, numbers, ...) parts."""
+    keys, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+    return keys, *(np.bincount(where, weights=np.concatenate(c), minlength=len(keys)) for c in list(zip(*held, strict=True))[1:])
+
+
+def _row(names: str, *columns) -> pa.RecordBatch:
+    """One row; integers as numbers, bytes as bytes."""
+    return pa.RecordBatch.from_arrays([pa.array([c], type=pa.binary() if isinstance(c, bytes) else pa.int64()) for c in columns], names=names.split())
+
+
+def bigrams(coded: DataFrame, shards: Shards) -> DataFrame:
+    """shard, keys (scattered bigrams, packed), target, background: exact counts of both models, one row a shard."""
+    width = shards.width
+    names = "shard keys target background"
+    schema = "shard long, keys binary, target binary, background binary"
 
     def count(batches):
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def out():
-            keys, where = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
-            sums = [np.bincount(where, weights=np.concatenate(c), minlength=len(keys)).astype(np.int64) for c in list(zip(*held, strict=True))[1:]]
-            held[:] = [(keys, *sums)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, *sums)], names=["bigram", *MODELS])
+        def out(sums):
+            for shard, a, b in shards.cut(sums[0]):
+                yield _row(names, shard, _steps(sums[0][a:b]), *(pack(c[a:b]) for c in sums[1:]))
 
         for batch in small_batches(batches):
             row, before, ids = _tokens(batch, width)
-            keys, where, n = np.unique(before * width + ids, return_inverse=True, return_counts=True)
+            keys, where, n = np.unique(shards.scatter(before * width + ids), return_inverse=True, return_counts=True)
             target = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append((keys, np.bincount(where, weights=target[row], minlength=len(keys)).astype(np.int64), n))
+            held.append((keys, np.bincount(where, weights=target[row], minlength=len(keys)), n))
             size += len(keys)
             if size > HELD_BIGRAMS:
-                batch = out()
+                held = [_summed(held)]
                 size = len(held[0][0])
                 if 2 * size > HELD_BIGRAMS:
-                    yield batch
-                    held.clear()
-                    size = 0
+                    yield from out(held[0])
+                    held, size = [], 0
         if held:
-            yield out()
+            yield from out(_summed(held))
 
-    sent = coded.select("target", "ids").mapInArrow(count, "bigram long, target long, background long")
-    return durable(sent.groupBy("bigram").agg(*(F.sum(m).alias(m) for m in MODELS)))
+    def add(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        at, size = None, 0
+        for batch in batches:
+            for shard, keys, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at and held:
+                    sums = _summed(held)
+                    yield _row(names, at, _steps(sums[0]), *map(pack, sums[1:]))
+                    held, size = [], 0
+                at = shard
+                held.append((np.cumsum(unpack(keys)), *map(unpack, counts)))
+                size += len(held[-1][0])
+                if size > HELD_BIGRAMS:
+                    held = [_summed(held)]
+                    size = len(held[0][0]) // 2
+        if held:
+            sums = _summed(held)
+            yield _row(names, at, _steps(sums[0]), *map(pack, sums[1:]))
+
+    sent = coded.select("target", "ids").mapInArrow(count, schema)
+    return durable(sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, schema))
+
+
+def _magnitude(n: np.ndarray) -> np.ndarray:
+    return np.floor(16 * np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def word_counts(counted: DataFrame, width: int) -> np.ndarray:
-    """Counts [target or background, word or word before, id]: at most ``width`` rows of each kind reach the driver."""
-    out = np.zeros((2, 2, width), dtype=np.int64)
-    for kind, name in enumerate((F.col("bigram") % width, F.floor(F.col("bigram") / width))):
-        found = counted.groupBy(name.cast("int").alias("id")).agg(*(F.sum(m).alias(m) for m in MODELS)).toArrow()
-        for m, model in enumerate(MODELS):
-            out[m, kind, found["id"].to_numpy()] = found[model].to_numpy()
-    return out
+def word_counts(counted: DataFrame, shards: Shards) -> tuple[np.ndarray, np.ndarray]:
+    """Counts [target or background, word or word before, id], and how many bigrams have each magnitude.
+
+    At most two rows a word of the vocabulary, and 1,024 magnitudes, reach the driver.
+    """
+    width = shards.width
+
+    def run(batches):
+        sums, sizes = np.zeros((2, 2, width)), np.zeros(1024, dtype=np.int64)
+        for batch in batches:
+            for keys, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bigram, both = shards.gather(np.cumsum(unpack(keys))), [unpack(c) for c in counts]
+                for kind, ids in enumerate((bigram % width, bigram // width)):
+                    for m in (0, 1):
+                        sums[m, kind] += np.bincount(ids, weights=both[m], minlength=width)
+                sizes += np.bincount(_magnitude(both[1]), minlength=1024)
+        flat = [*sums.reshape(2, -1).astype(np.int64)]
+        columns = [np.arange(2 * width + 1024), np.concatenate([flat[0], sizes]), np.concatenate([flat[1], sizes])]
+        some = np.flatnonzero(columns[2])
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in columns], names=["id", *MODELS])
+
+    found = counted.select("keys", *MODELS).mapInArrow(run, "id long, target long, background long").groupBy("id").agg(*(F.sum(m).alias(m) for m in MODELS)).toArrow()
+    out = np.zeros((2, 2 * width + 1024), dtype=np.int64)
+    for m, name in enumerate(MODELS):
+        out[m, found["id"].to_numpy()] = found[name].to_numpy()
+    return out[:, : 2 * width].reshape(2, 2, width), out[0, 2 * width :]
+
+
+def frequent(counted: DataFrame, shards: Shards, sizes: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Bigrams, sorted, with both counts: all those of the greatest magnitudes that together are ``most`` at most."""
+    upto = np.cumsum(sizes[::-1])[::-1]
+    few = int(np.argmax(upto <= most))
+
+    def run(batches):
+        for batch in batches:
+            for keys, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bigram, both = shards.gather(np.cumsum(unpack(keys))), [unpack(c) for c in counts]
+                top = np.flatnonzero(_magnitude(both[1]) >= few)
+                yield pa.RecordBatch.from_arrays([pa.array(c[top]) for c in (bigram, *both)], names=["bigram", *MODELS])
+
+    found = counted.select("keys", *MODELS).mapInArrow(run, "bigram long, target long, background long").toArrow()
+    order = np.argsort(found["bigram"].to_numpy())
+    return tuple(found[c].to_numpy()[order] for c in ("bigram", *MODELS))
 
 
 def _own(row: np.ndarray, key: np.ndarray, base: int) -> np.ndarray:
@@ -164,22 +279,20 @@ def _own(row: np.ndarray, key: np.ndarray, base: int) -> np.ndarray:
 
 def score(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score; ``targets`` has the column doc_id."""
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    known = context.broadcast(vocabulary(docs, size))
+    context = docs.sparkSession.sparkContext
+    words, tokens = vocabulary(docs, size)
+    known = context.broadcast(words)
     # ids run from 0 (unknown) to width - 2, the last one stands for the start of a text
-    width = len(known.value) + 2
+    width = len(words) + 2
+    shards = Shards(width, tokens)
     coded = encoded(docs, targets, known)
-    counted = bigrams(coded, width)
-    singles = word_counts(counted, width)
-    _, few = _threshold(counted.select(F.col("background").alias("n")), hot)
-    top = counted.where(F.floor(16 * F.log2("background")) >= F.lit(few)).toArrow()
-    order = np.argsort(top["bigram"].to_numpy())
-    shared = context.broadcast((singles, *(top[c].to_numpy()[order] for c in ("bigram", *MODELS))))
+    counted = bigrams(coded, shards)
+    singles, sizes = word_counts(counted, shards)
+    shared = context.broadcast((singles, *frequent(counted, shards, sizes, hot)))
     totals = singles[:, 0].sum(axis=1)
 
     def look_up(batches):
-        """For each document and bigram of it (row, bigram, n, and whether it is among the broadcast ones) what scoring needs."""
+        """For each document and bigram of it (row, bigram, n, and its place among the broadcast ones) what scoring needs."""
         keys = shared.value[1]
         for batch in small_batches(batches):
             row, before, ids = _tokens(batch, width)
@@ -188,49 +301,80 @@ def score(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, hot: int
             _, at, n = np.unique(row * (width * width) + bigram, return_index=True, return_counts=True)
             row, before, ids, bigram, own_word, own_before = (x[at] for x in (row, before, ids, bigram, own_word, own_before))
             place = np.minimum(np.searchsorted(keys, bigram), max(len(keys) - 1, 0))
-            known_here = keys[place] == bigram if len(keys) else np.zeros(len(bigram), dtype=bool)
-            yield batch, row, before, ids, bigram, n, own_word, own_before, place, known_here
+            here = keys[place] == bigram if len(keys) else np.zeros(len(bigram), dtype=bool)
+            n_row = np.bincount(row, weights=n, minlength=batch.num_rows).astype(np.int64)
+            target = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch, n_row, target, row, before, ids, bigram, n, own_word, own_before, place, here
 
-    def near(batches):
+    def known_part(batches):
         """A row for each document: the sums that need no further count."""
-        words, _, *hot_counts = shared.value
-        for batch, row, before, ids, _, n, own_word, own_before, place, here in look_up(batches):
-            size = np.bincount(row, weights=n, minlength=batch.num_rows).astype(np.int64)
-            target = batch.column(2).to_numpy(zero_copy_only=False)
+        singles, _, *frequent_counts = shared.value
+        for batch, n_row, target, row, before, ids, _, n, own_word, own_before, place, here in look_up(batches):
             columns = []
             for m in (0, 1):
-                own = target[row].astype(np.int64) if m == 0 else np.ones(len(row), dtype=np.int64)
-                under = np.log2(words[m, 1][before] - own * own_before + MU)
-                p1 = (words[m, 0][ids] - own * own_word + 1) / (totals[m] - own * size[row] + width - 1)
-                bits = under.copy()
-                bits[here] -= np.log2(hot_counts[m][place[here]] - (own * n)[here] + MU * p1[here])
+                own = target[row] if m == 0 else np.ones(len(row), dtype=np.int64)
+                bits = np.log2(singles[m, 1][before] - own * own_before + MU)
+                p1 = (singles[m, 0][ids] - own * own_word + 1) / (totals[m] - own * n_row[row] + width - 1)
+                bits[here] -= np.log2(frequent_counts[m][place[here]] - (own * n)[here] + MU * p1[here])
                 columns.append(np.bincount(row, weights=n * bits, minlength=batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), *(pa.array(c) for c in columns)], names=["rid", "doc_id", "n_tokens", *MODELS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_row), *(pa.array(c) for c in columns)], names=["rid", "doc_id", "n_tokens", *MODELS])
+
+    asked_names = "shard kind keys at n own_word rids sizes"
+    asked_schema = "shard long, kind long, keys binary, at binary, n binary, own_word binary, rids binary, sizes binary"
 
-    def far(batches):
-        """A row for each document and bigram whose count is asked for; documents of the target have a negative size."""
-        for batch, row, _, _, bigram, n, own_word, _, _, here in look_up(batches):
-            size = np.bincount(row, weights=n, minlength=batch.num_rows).astype(np.int64)
-            size *= np.where(batch.column(2).to_numpy(zero_copy_only=False), -1, 1)
+    def ask(batches):
+        """A row for each shard that a piece of the documents asks: bigrams, their documents and own counts."""
+        for batch, n_row, target, row, _, _, bigram, n, own_word, _, _, here in look_up(batches):
+            rids = batch.column(0).to_numpy()
             asks = np.flatnonzero(~here)
-            rid = batch.column(0).to_numpy()
-            columns = [bigram[asks], rid[row[asks]], n[asks].astype(np.int32), own_word[asks].astype(np.int32), size[row[asks]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bigram", "rid", "n", "own_word", "size"])
-
-    coded_rows = coded.select("rid", "doc_id", "target", "ids")
-    known_sums = coded_rows.mapInArrow(near, "rid long, doc_id long, n_tokens long, target double, background double")
-    asked = coded_rows.mapInArrow(far, "bigram long, rid long, n int, own_word int, size long").withColumnRenamed("bigram", "_b")
-    # one row for each word of the vocabulary
-    by_word = spark.createDataFrame(pa.table({"word": np.arange(width), **{f"word_{name}": singles[m, 0] for m, name in enumerate(MODELS)}}))
-    rare = counted.where(F.floor(16 * F.log2("background")) < F.lit(few))
-    found = asked.join(rare.hint("merge"), F.col("_b") == F.col("bigram")).join(F.broadcast(by_word), F.col("bigram") % width == F.col("word"))
-    bits = []
-    for m, name in enumerate(MODELS):
-        own = F.when(F.col("size") < 0, 1).otherwise(0) if m == 0 else F.lit(1)
-        p1 = (F.col(f"word_{name}") - own * F.col("own_word") + 1) / (F.lit(int(totals[m]) + width - 1) - own * F.abs("size"))
-        bits.append((-F.col("n") * F.log2(F.col(name) - own * F.col("n") + MU * p1)).alias(f"_{name}"))
-    asked_sums = found.select("rid", *bits).select("rid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), *(F.col(f"_{name}").alias(name) for name in MODELS))
-    sums = known_sums.union(asked_sums).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(name).alias(name) for name in MODELS))
+            key = shards.scatter(bigram[asks])
+            order = np.argsort(key, kind="stable")
+            key, asks = key[order], asks[order]
+            for shard, a, b in shards.cut(key):
+                some, at = np.unique(row[asks[a:b]], return_inverse=True)
+                yield _row(asked_names, shard, 1, _steps(key[a:b]), pack(at), pack(n[asks[a:b]]), pack(own_word[asks[a:b]]), _steps(rids[some]), pack(2 * n_row[some] + target[some]))
+
+    def answer(batches):
+        """Sums by document; a shard's counts come before what is asked of it."""
+        singles = shared.value[0]
+        keys, counts, held, size = None, None, [], 0
+
+        def out(sums):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in sums], names=["rid", *MODELS])
+
+        for batch in batches:
+            for _, kind, steps, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = np.cumsum(unpack(steps))
+                if kind == 0:
+                    keys, counts = key, [unpack(b) for b in blobs[:2]]
+                    continue
+                at, n, own_word, rid_steps, sizes = map(unpack, blobs)
+                place, ids = np.searchsorted(keys, key), shards.gather(key) % width
+                n_row, target = sizes[at] >> 1, sizes[at] & 1
+                bits = []
+                for m in (0, 1):
+                    own = target if m == 0 else 1
+                    p1 = (singles[m, 0][ids] - own * own_word + 1) / (totals[m] - own * n_row + width - 1)
+                    bits.append(-n * np.log2(counts[m][place] - own * n + MU * p1))
+                held.append((np.cumsum(rid_steps)[at], *bits))
+                size += len(key)
+                if size > HELD_BIGRAMS:
+                    held = [_summed(held)]
+                    size = len(held[0][0])
+                    if 2 * size > HELD_BIGRAMS:
+                        yield out(held[0])
+                        held, size = [], 0
+        if held:
+            yield out(_summed(held))
+
+    rows = coded.select("rid", "doc_id", "target", "ids")
+    nothing = F.lit(None).cast("binary")
+    table = counted.select("shard", F.lit(0).cast("long").alias("kind"), "keys", F.col("target").alias("at"), F.col("background").alias("n"), nothing.alias("own_word"), nothing.alias("rids"), nothing.alias("sizes"))
+    met = table.union(rows.mapInArrow(ask, asked_schema)).repartition("shard").sortWithinPartitions("shard", "kind")
+    answers = met.mapInArrow(answer, "rid long, target double, background double")
+    answers = answers.select("rid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), *MODELS)
+    own = rows.mapInArrow(known_part, "rid long, doc_id long, n_tokens long, target double, background double")
+    sums = own.union(answers).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(name).alias(name) for name in MODELS))
     means = [F.when(F.col("n_tokens") > 0, F.col(name) / F.col("n_tokens")).alias(f"{name}_loss") for name in MODELS]
     return sums.select("doc_id", "n_tokens", *means).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 

@@ -293,19 +293,26 @@ def test_scores_prefer_the_target(spark):
 def test_models_are_distributions(spark):
     """Both models, over every word that comes before another, at the size of the tests' tables."""
     docs = table(spark, SF, "documents")
-    known = spark.sparkContext.broadcast(lm_scoring.vocabulary(docs, 3000))
-    width = len(known.value) + 2
-    counted = lm_scoring.bigrams(lm_scoring.encoded(docs, table(spark, SF, "labels").where("quality = 1"), known), width)
-    singles = lm_scoring.word_counts(counted, width)
-    found = counted.toArrow()
-    before = found["bigram"].to_numpy() // width
-    for m, name in enumerate(lm_scoring.MODELS):
+    words, tokens = lm_scoring.vocabulary(docs, 3000)
+    known = spark.sparkContext.broadcast(words)
+    shards = lm_scoring.Shards(len(words) + 2, 100 * tokens)
+    width = shards.width
+    counted = lm_scoring.bigrams(lm_scoring.encoded(docs, table(spark, SF, "labels").where("quality = 1"), known), shards)
+    singles, sizes = lm_scoring.word_counts(counted, shards)
+    bigram, *counts = lm_scoring.frequent(counted, shards, sizes, 1 << 30)
+    assert len(bigram) == sizes.sum() == len(set(bigram.tolist())) and counted.count() > 4 and tokens == counts[1].sum()
+    for m in (0, 1):
         p1 = (singles[m, 0, : width - 1] + 1) / (singles[m, 0].sum() + width - 1)
-        sums = np.bincount(before, weights=found[name].to_numpy(), minlength=width)
+        sums = np.bincount(bigram // width, weights=counts[m], minlength=width)
         assert p1.sum() == pytest.approx(1) and singles[m, 0].sum() == sums.sum() == singles[m, 1].sum()
         assert (sums + lm_scoring.MU * p1.sum()) / (singles[m, 1] + lm_scoring.MU) == pytest.approx(np.ones(width))
 
 
+@pytest.mark.parametrize("values", [[], [0, 0], [5, 0, 255], [1 << 40, 3], [1 << 62]])
+def test_packed_numbers(values):
+    assert lm_scoring.unpack(lm_scoring.pack(np.array(values, dtype=np.int64))).tolist() == values
+
+
 def brute_scores(docs, targets, size):
     from math import log2
 
@@ -330,6 +337,7 @@ def brute_scores(docs, targets, size):
 @pytest.mark.parametrize("hot", [0, 7, 1 << 19])
 def test_scores_leave_the_own_document_out(spark, monkeypatch, hot):
     monkeypatch.setattr(lm_scoring, "HELD_BIGRAMS", 20)
+    monkeypatch.setattr(lm_scoring, "TOKENS_A_SHARD", 64)
     rng = random.Random(4)
     docs = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 60}" for _ in range(rng.randrange(40)))) for i in range(60)]
     docs += [docs[3], docs[3], (4, "w1 w2 w1 w2"), (None, "w1 w1 w3"), (70, None), (71, " ")]
