@@ -13,10 +13,12 @@ window that covers it also starts in a document with a smaller id.
    are kept, one bit each.  The width follows the input's size up to
    ``MOST_BITS``, which bounds the broadcast; beyond it more windows pass on.
 2. *Exact grouping.*  Only windows whose anchor is estimated repeated go on, as
-   runs of hashes dealt by anchor; those of an anchor that is estimated to come
-   often are dealt by anchor and window, so that no key grows hot.  Before that
-   each batch settles its own repeats: of equal windows only those in its
-   smallest document ask further, so a window has one row per batch at most.
+   one row for each document and anchor, with the hashes and places of its
+   windows; those of an anchor that is estimated to come often are dealt by anchor
+   and window, so that no key grows hot.  Before that each batch settles its own
+   repeats: of equal windows only those in its smallest document ask further, so a
+   window has one row per batch at most, however often the document repeats it
+   (a row holds ``ROW`` places).
    Rows come to a task sorted by deal, and windows are grouped by anchor and
    window hash, 128 bits, for some deals at a time, so a task holds a few of
    them whatever its partition's size.
@@ -45,7 +47,8 @@ from sluice.llm.common import hash_words, input_bytes, mix64, powers, small_batc
 LEAST_BITS, MOST_BITS, SHARD_BITS = 20, 29, 18
 #: Estimated occurrences from which an anchor's windows are dealt one by one.
 OFTEN = 64
-SEGMENT = 1 << 19
+#: Words hashed at once, and windows of a row that asks.
+SEGMENT, ROW = 1 << 19, 1 << 16
 
 _POWERS: dict[int, tuple] = {}
 
@@ -164,12 +167,13 @@ def _merge_runs(doc: np.ndarray, text: np.ndarray, at: np.ndarray, width: int) -
 
 
 def _batch(columns: list, kinds: tuple) -> pa.RecordBatch:
-    names = ("deal", "doc_id", "text", "start", "stop", "hashes")
+    names = ("deal", "doc_id", "text", "start", "stop", "hashes", "places")
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-_SCHEMA = "deal long, doc_id long, text long, start int, stop int, hashes binary"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+#: A row is a span that is known to go (start, stop), or asks for windows (hashes and the places of their first words).
+_SCHEMA = "deal long, doc_id long, text long, start int, stop int, hashes binary, places binary"
 
 
 def _ask(maps, width: int, bits: int):
@@ -198,20 +202,25 @@ def _ask(maps, width: int, bits: int):
             later = np.zeros(len(doc), dtype=bool)
             later[order] = doc[order] > least
             d, t, s, e = _merge_runs(doc[later], text[later], at[later], width)
-            yield _batch([mix64(d.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)).view(np.int64), d, t, s, e, [None] * len(d)], _KINDS)
+            yield _batch([mix64(d.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)).view(np.int64), d, t, s, e, [None] * len(d), [None] * len(d)], _KINDS)
             ask = np.flatnonzero(~later)
             doc, text, at, hashes, anchors, often = doc[ask], text[ask], at[ask], hashes[ask], anchors[ask], often[ask]
             if not len(doc):
                 continue
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (anchors[1:] != anchors[:-1]) | often[1:]])
+            deal = np.where(often, mix64(anchors ^ (hashes * np.uint64(3))), anchors).view(np.int64)
+            order = np.lexsort((hashes, text, doc, deal))
+            deal, doc, text, at, hashes = deal[order], doc[order], text[order], at[order], hashes[order]
+            new = np.concatenate([[True], (deal[1:] != deal[:-1]) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
             first = np.flatnonzero(new)
             stop = np.concatenate([first[1:], [len(doc)]])
-            deal = np.where(often[first], mix64(anchors[first] ^ (hashes[first] * np.uint64(3))), anchors[first]).view(np.int64)
-            raw = hashes.astype("<u8").tobytes()
-            blobs = [raw[8 * i : 8 * j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
+            if (stop - first).max() > ROW:
+                first = np.concatenate([np.arange(i, j, ROW) for i, j in zip(first.tolist(), stop.tolist(), strict=True)])
+                stop = np.concatenate([first[1:], [len(doc)]])
+            raw, places = hashes.astype("<u8").tobytes(), at.astype("<i4").tobytes()
             for lo in range(0, len(first), 50_000):
-                hi = lo + 50_000
-                yield _batch([deal[lo:hi], doc[first[lo:hi]], text[first[lo:hi]], at[first[lo:hi]], at[first[lo:hi]] + (stop - first)[lo:hi], blobs[lo:hi]], _KINDS)
+                ends = list(zip(first[lo : lo + 50_000].tolist(), stop[lo : lo + 50_000].tolist(), strict=True))
+                own = first[lo : lo + 50_000]
+                yield _batch([deal[own], doc[own], text[own], at[own], at[own], [raw[8 * i : 8 * j] for i, j in ends], [places[4 * i : 4 * j] for i, j in ends]], _KINDS)
 
     return run
 
@@ -228,10 +237,10 @@ def _settle(width: int):
             rest = batch.filter(asked)
             if not rest.num_rows:
                 continue
-            deal, doc, text, start, stop = (rest.column(i).to_numpy() for i in range(5))
-            n = (stop - start).astype(np.int64)
+            deal, doc, text = (rest.column(i).to_numpy() for i in range(3))
+            n = pc.binary_length(rest.column(5)).to_numpy().astype(np.int64) // 8
             hashes = np.frombuffer(b"".join(rest.column(5).to_pylist()), dtype="<u8")
-            at = np.repeat(start, n) + np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+            at = np.frombuffer(b"".join(rest.column(6).to_pylist()), dtype="<i4")
             doc, text, deal = np.repeat(doc, n), np.repeat(text, n), np.repeat(deal, n)
             order = np.lexsort((doc, deal, hashes))
             h, k, d = hashes[order], deal[order], doc[order]

@@ -148,6 +148,25 @@ def test_place_fills_windows():
     assert len(tail) < 1.2 * len(lengths)
 
 
+@pytest.mark.parametrize("kind", ["uniform", "geometric"])
+def test_windows_follow_the_fit(kind):
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 1024, 8000) if kind == "uniform" else np.minimum(rng.geometric(1 / 300, 8000), 1023)
+    h = np.bincount(lengths, minlength=1025)
+    cols, x = packing.fit_counts(h, 1024)
+    counts = packing.round_counts(cols, x, h)
+    assert (x >= 0).all() and (counts <= np.floor(x + 1e-9) + 1).all() and not counts[x == 0].any()
+    used = np.bincount(cols.ravel(), weights=np.repeat(counts, 3) * (cols.ravel() > 0), minlength=1025)
+    assert (used <= h).all() and counts.sum() > 0.5 * x.sum()
+    tail, start, length, sequence, offset, n = packing.place(lengths, 1024)
+    made = {}
+    for t, o, s in sorted(zip(tail.tolist(), offset.tolist(), sequence.tolist(), strict=True), key=lambda r: (r[2], r[1])):
+        made.setdefault(s, []).append(int(lengths[t]))
+    # the first sequences are the combinations, as often as their rounded count says
+    first = Counter(tuple(made[s]) for s in range(int(counts.sum())))
+    assert first == Counter({tuple(v for v in c if v): k for c, k in zip(cols.tolist(), counts.tolist(), strict=True) if k})
+
+
 def test_hot_lengths():
     *_, length, sequence, offset, n = packing.place(np.full(900, 700), 1024)
     assert length.sum() == 900 * 700 and n <= 900 * 700 // 1024 + 10
