@@ -40,6 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluice.llm.common import hash_words, input_bytes, mix64, powers, small_batches, split_words, text_chunks, whole_keys
 
@@ -301,8 +302,9 @@ def dedup(docs: DataFrame, width: int = 50, *, with_text: bool = True) -> DataFr
     rows = docs.select(others.alias("_sl_row"), F.col("text").alias("_sl_text"))
     same = (F.col("_sl_row.doc_id").cast("long") == F.col("_sl_id")) & (F.xxhash64("_sl_text") == F.col("_sl_hash"))
     both = rows.join(spans, same, "left").select("_sl_row", "_sl_text", "_sl_spans")
-    kind = rows.schema["_sl_row"].dataType.simpleString()
-    return both.mapInArrow(_apply(with_text), f"_sl_row {kind}, n_words long, n_removed long, kept_sha256 string" + ", _sl_kept string" * with_text)
+    # a schema as an object, since names may hold any character
+    schema = StructType([rows.schema["_sl_row"]]).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    return both.mapInArrow(_apply(with_text), schema.add("_sl_kept", "string") if with_text else schema)
 
 
 def digests(docs: DataFrame, width: int = 50) -> DataFrame:

@@ -60,6 +60,18 @@ def test_odd_rows(docs, name):
         assert set(got[0].asDict()) == set(docs.columns)
 
 
+@pytest.mark.parametrize("name", ["keep", "mixed", "passages", "near"])
+def test_odd_names(spark, name):
+    """Columns with dots, spaces and the names that operators use stay as they are."""
+    names = ["meta.lang", "_sl_key", "_sl_row", "_sl_id", "a b", "Root", "node", "n_chars"]
+    given = [(i, f"{t} {SHARED} {i} {LONG[:900]}", "s", *(f"{c}{i}" for c in names[:-1]), 5) for i, t in enumerate("abc")]
+    frame = spark.createDataFrame(given, ["doc_id", "text", "source", *names])
+    out = FUNCTIONS[name](frame)
+    assert out.columns == frame.columns
+    for r in out.collect():
+        assert [r[c] for c in names[:-1]] == list(given[r["doc_id"]][3:-1])
+
+
 @pytest.mark.parametrize("name", sorted(FUNCTIONS))
 def test_empty_table(spark, name):
     assert FUNCTIONS[name](spark.createDataFrame([], SCHEMA)).count() == 0
@@ -186,7 +198,10 @@ def test_automaton_against_library():
         assert count[word.encode()] == len(model.tokenize(word)), word
 
 
-def test_pigeonhole_finds_all(spark):
+@pytest.mark.parametrize("cells, share", [(16, 2048), (4, 2048), (16, 8)])
+def test_pigeonhole_finds_all(spark, monkeypatch, cells, share):
+    monkeypatch.setattr(pigeonhole, "cell_bits", lambda n, parts: cells + 6 if share < 9 else cells)
+    monkeypatch.setattr(pigeonhole._deal, "__defaults__", (0, share))
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
     near = [base]
