@@ -6,8 +6,9 @@
    by at most t_i in some part i (t_i = -1: the part isn't used).  Every
    fingerprint has thresholds of its own, chosen by dynamic programming over the
    parts on the number of candidates that each is estimated to bring.  The
-   estimate is a hashed histogram of part values, of fixed size, that can only be
-   too high; it decides what is cheap, never what is found.
+   estimate is a histogram of part values with a cell for each fingerprint, up to
+   one for each value (some 2 million a part); values that share a cell make it
+   too high.  It decides what is cheap, never what is found.
 3. Every fingerprint is filed under its value in each part and probes the values
    within its thresholds.  Probes and entries meet by (part, value).  A value
    with many entries has shares: a probe goes to one, an entry to all.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import mix64, whole_keys
 
-#: Parts, bits of the histogram's cells, entries of a share aimed at, and what a probe costs beside a comparison.
+#: Parts, least bits of the histogram's cells, entries of a share aimed at, and what a probe costs beside a comparison.
 PARTS, CELL_BITS, SHARE, PROBE_COST = 3, 16, 2048, 4.0
 BLOCK = 2048
 #: Columns that travel with an entry or a probe: the fingerprint, then what a caller adds.
@@ -89,26 +90,35 @@ def values(fps: np.ndarray, part: list[int]) -> np.ndarray:
     return out
 
 
-def _cell(part: int, value: np.ndarray) -> np.ndarray:
-    return (mix64(value + np.uint64((part + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _cell(part: int, value: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """The histogram's cell of a value of ``width`` bits: its own where there are as many cells as values."""
+    if bits >= width:
+        return value.astype(np.int64)
+    return (mix64(value + np.uint64((part + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def histogram(fps: DataFrame, parts: list[list[int]]) -> np.ndarray:
-    """Fingerprints by part and hashed value."""
+def cell_bits(n: int, parts: list[list[int]]) -> int:
+    return min(max(map(len, parts)), max(CELL_BITS, n.bit_length()))
+
+
+def histogram(fps: DataFrame, parts: list[list[int]], bits: int) -> np.ndarray:
+    """Fingerprints by part and cell."""
 
     def run(batches):
-        sums = np.zeros((len(parts), 1 << CELL_BITS), dtype=np.int64)
+        sums = np.zeros((len(parts), 1 << bits), dtype=np.int64)
         for batch in batches:
             f = _unsigned(batch.column(0))
             for p, part in enumerate(parts):
-                sums[p] += np.bincount(_cell(p, values(f, part)), minlength=1 << CELL_BITS)
+                sums[p] += np.bincount(_cell(p, values(f, part), len(part), bits), minlength=1 << bits)
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums.ravel()[at])], names=["cell", "n"])
+        for lo in range(0, len(at), 1 << 16):
+            some = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums.ravel()[some])], names=["cell", "n"])
 
     found = fps.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(parts) << CELL_BITS, dtype=np.int64)
+    out = np.zeros(len(parts) << bits, dtype=np.int64)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(len(parts), -1)
+    return np.minimum(out, 1 << 30).astype(np.int32).reshape(len(parts), -1)
 
 
 def ball(width: int, radius: int) -> np.ndarray:
@@ -151,7 +161,7 @@ def allocate(costs: np.ndarray, goal: int) -> np.ndarray:
     return out
 
 
-def _deal(parts: list[list[int]], counts, k: int, first: int = 0, aim: int = SHARE):
+def _deal(parts: list[list[int]], counts, k: int, bits: int, first: int = 0, aim: int = SHARE):
     """Entries and probes; further long columns travel along, and parts are numbered from ``first``."""
     goal = k - len(parts) + 1
     # wider thresholds cost more than they save, and their balls much memory
@@ -178,7 +188,7 @@ def _deal(parts: list[list[int]], counts, k: int, first: int = 0, aim: int = SHA
                 costs = np.zeros((len(parts), radius + 2, len(fps)))
                 near = []
                 for p in range(len(parts)):
-                    rings = [estimates[p][_cell(p, own[p][:, None] ^ ring)] for ring in balls[p]]
+                    rings = [estimates[p][_cell(p, own[p][:, None] ^ ring, len(parts[p]), bits)].astype(np.int64) for ring in balls[p]]
                     near.append(rings)
                     total = np.zeros(len(fps))
                     for t, ring in enumerate(rings):
@@ -246,7 +256,9 @@ def _meet(k: int):
 
 def links(fps: DataFrame, k: int = 2, parts: int = PARTS) -> DataFrame:
     """Links (a, b) that join all of the distinct fingerprints ``fps`` (one long column) that are within ``k`` bits."""
-    grouped = group_bits(*joint_counts(fps), parts)
-    counts = fps.sparkSession.sparkContext.broadcast(histogram(fps, grouped))
-    dealt = fps.mapInArrow(_deal(grouped, counts, k), "deal long, part int, value long, probes boolean, fp long")
+    n, joint = joint_counts(fps)
+    grouped = group_bits(n, joint, parts)
+    bits = cell_bits(n, grouped)
+    counts = fps.sparkSession.sparkContext.broadcast(histogram(fps, grouped, bits))
+    dealt = fps.mapInArrow(_deal(grouped, counts, k, bits), "deal long, part int, value long, probes boolean, fp long")
     return dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_meet(k), "a long, b long")
