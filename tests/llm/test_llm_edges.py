@@ -263,8 +263,10 @@ def test_knn_odd_rows(spark):
     assert knn.top_k(frame.where("vec_id % 50 <> 0")).count() == 0
 
 
-def test_knn_splits_hot_cells(spark, monkeypatch):
-    monkeypatch.setattr(knn, "SHARE", 16)
+@pytest.mark.parametrize("share, chunk", [(16, 16_384), (16, 3), (10_000, 1)])
+def test_knn_splits_hot_cells(spark, monkeypatch, share, chunk):
+    monkeypatch.setattr(knn, "SHARE", share)
+    monkeypatch.setattr(knn, "CHUNK", chunk)
     rng = np.random.default_rng(4)
     x = np.concatenate([np.full((150, 4), 0.5), rng.normal(size=(250, 4))])
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -276,6 +278,21 @@ def test_knn_splits_hot_cells(spark, monkeypatch):
     assert rows(knn.top_k(frame, pivots=8)) == sorted(expected, key=repr)
 
 
+def test_knn_repeated_rows_leave_room(spark):
+    """A vector that a hundred rows of one id repeat doesn't hide the next ones; scattered groups need few cells."""
+    rng = np.random.default_rng(6)
+    far = [(i, (rng.normal(size=3) * 0.1 + 20.0 * np.eye(3)[i % 3]).tolist()) for i in range(90)]
+    data = [(7, [30.0, 30.0, 30.0])] * 100 + [(i, v) for i, v in far if i != 7]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    good = {(i, tuple(np.floor(256 * np.array(v)).astype(int).tolist())) for i, v in data}
+    expected = []
+    for q, x in good:
+        if q % 50 == 0:
+            best = sorted((-int(np.dot(x, y)), i) for i, y in good if i != q)[:5]
+            expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert rows(knn.top_k(frame, pivots=6)) == sorted(expected, key=repr)
+
+
 TALKS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "hello <|im_end|>\n"), (1, 2, "user", "bye"), (1, 3, "assistant", ""),
     (2, 0, "user", "hi"), (2, 1, "assistant", "hello <|im_end|>\n"), (2, 2, "user", "\\<|\\n"),
