@@ -16,7 +16,8 @@ reader decode any range of ids alone.
 Documents are range-partitioned by id, encoded and written by the task that
 holds them, under names that depend on the partition alone and by renaming, so
 a task that runs again replaces its own files.  A file holds ``file_ids`` ids or
-one document.  The driver sees one manifest row per file.
+one document.  The manifest, a row per file, is a table; the driver sees one row
+per partition.
 
 Null text is empty (its end id remains); rows with a null id come first;
 repeated ids are ordered by text; an empty table writes no file.  Other columns
@@ -31,10 +32,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import scratch_path
+from sluice.llm.common import durable, qualified, scratch_path
 from sluice.llm.tokens import default_vocabulary, encoder
 
 HEAD = struct.Struct("<4sIIQQ")
@@ -144,8 +145,10 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, path: str, *, end_id: int = 0, vocabulary: str | None = None, percentile: float = 0.9, file_ids: int = 1 << 22) -> list[tuple[str, int, int]]:
-    """Writes all documents in ascending id order; (file, documents, ids) of each file, in that order."""
+def write_token_files(docs: DataFrame, path: str, *, end_id: int = 0, vocabulary: str | None = None, percentile: float = 0.9, file_ids: int = 1 << 22) -> DataFrame:
+    """Writes all documents in ascending id order; the manifest (file, documents, ids, start), ``start`` being the ids in files before."""
+    spark = docs.sparkSession
+    path = qualified(spark, path)
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches):
@@ -161,11 +164,12 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 0, vocabulary
         def flush():
             ids = np.frombuffer(b"".join(x for _, x in held), dtype=enc.dtype)
             data = encode_file([(d, len(x) // enc.dtype.itemsize) for d, x in held], ids, percentile)
-            name = f"{root}/ids-{part:06d}-{len(written):06d}.sltf"
+            file = f"ids-{part:06d}-{len(written):06d}.sltf"
+            name = f"{root}/{file}"
             with store.open_output_stream(f"{name}.{attempt}") as out:
                 out.write(data)
             store.move(f"{name}.{attempt}", name)
-            written.append((part, len(written), name, len(held), len(ids)))
+            written.append((part, len(written), f"{path}/{file}", len(held), len(ids)))
             held.clear()
 
         size = 0
@@ -184,21 +188,24 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 0, vocabulary
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["part", "k", "file", "documents", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = rows.mapInArrow(run, "part int, k int, file string, documents long, ids long").collect()
-    return [(r.file, r.documents, r.ids) for r in sorted(manifest, key=lambda r: (r.part, r.k))]
+    manifest = durable(rows.mapInArrow(run, "part int, k int, file string, documents long, ids long"))
+    at, starts = 0, []
+    for r in sorted(manifest.groupBy("part").agg(F.sum("ids").alias("ids")).collect()):
+        starts.append((r.part, at))
+        at += r["ids"]
+    first = spark.createDataFrame(starts, "part int, first long")
+    before = F.sum("ids").over(Window.partitionBy("part").orderBy("k")) - F.col("ids")
+    return manifest.join(first, "part").select("file", "documents", "ids", (F.col("first") + before).alias("start"))
 
 
-def read_token_files(spark, path: str, files: list[tuple[str, int, int]]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, in their order."""
-    start, rows = 0, []
-    for name, _, ids in files:
-        rows.append((name, start))
-        start += ids
+def read_token_files(manifest: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the manifest's files (file, start)."""
+    context = manifest.sparkSession.sparkContext
 
     def run(batches):
-        store, _ = _filesystem(path)
         for batch in batches:
             for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, name = _filesystem(name)
                 with store.open_input_stream(name) as f:
                     docs, ids = decode_file(f.read())
                 ids, lo, out = ids.astype("<u4"), 0, []
@@ -207,8 +214,8 @@ def read_token_files(spark, path: str, files: list[tuple[str, int, int]]) -> Dat
                     lo += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    tasks = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism, 10_000))
-    named = spark.createDataFrame(rows, "file string, start long").repartition(tasks)
+    # a row per file: dealt evenly, at most as many tasks as files
+    named = manifest.select("file", "start").repartition(max(1, min(4 * context.defaultParallelism, manifest.count())))
     return named.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -216,4 +223,4 @@ def token_files(docs: DataFrame, *, path: str | None = None, **options) -> DataF
     """Writes the token files of ``docs`` and reads them back."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token_files")
-    return read_token_files(spark, path, write_token_files(docs, path, **options))
+    return read_token_files(write_token_files(docs, path, **options))
