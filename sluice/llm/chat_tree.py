@@ -173,21 +173,21 @@ def read_back(sequences: DataFrame, *, vocabulary: str | None = None) -> DataFra
     names = ["conv_id", "turns", "loss_text", "formatted"]
 
     def run(batches):
-        decode = encoder(vocabulary).tokenizer.decode
+        decode = encoder(vocabulary).tokenizer.decode_batch
         for batch in batches:
             for row in range(batch.num_rows):
                 ids = batch.column(0)[row].values.to_numpy()
                 loss = batch.column(1)[row].values.to_numpy(zero_copy_only=False).astype(bool)
-                nodes = batch.column(2)[row].as_py()
+                spans = [(n["start"], n["stop"]) for n in batch.column(2)[row].as_py()]
+                # a node is a whole turn, so each is decoded and read once, whatever conversations share it
+                texts = decode([ids[a:b].tolist() for a, b in spans], skip_special_tokens=False)
+                learnt = decode([ids[a:b][loss[a:b]].tolist() for a, b in spans], skip_special_tokens=False)
+                turns = [[{"role": unescape_role(r), "text": unescape(t)} for r, t in TURN.findall(text)] for text in texts]
+                learnt = [unescape(t) for t in learnt]
                 out = []
                 for talk in batch.column(3)[row].as_py():
-                    spans = [(nodes[n]["start"], nodes[n]["stop"]) for n in talk["nodes"]]
-                    own = np.concatenate([ids[a:b] for a, b in spans])
-                    under = np.concatenate([loss[a:b] for a, b in spans])
-                    text = decode(own.tolist(), skip_special_tokens=False)
-                    learnt = decode(own[under].tolist(), skip_special_tokens=False)
-                    turns = [{"role": unescape_role(r), "text": unescape(t)} for r, t in TURN.findall(text)]
-                    out.append((talk["conv_id"], turns, unescape(learnt), text))
+                    nodes = talk["nodes"]
+                    out.append((talk["conv_id"], [t for n in nodes for t in turns[n]], "".join(learnt[n] for n in nodes), "".join(texts[n] for n in nodes)))
                 for lo in range(0, len(out), 200):
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out[lo : lo + 200], strict=True), kinds, strict=True)], names=names)
 
