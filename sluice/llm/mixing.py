@@ -28,6 +28,8 @@ from sluice.llm.quality import words
 HASH_BITS = 60
 #: Hash bits of one histogram (2**12 rows a source), and documents aimed at in the last bucket.
 LEVEL_BITS, LAST_BUCKET = 12, 128
+#: Sources up to which their rows (and some 256 documents of each) are broadcast; beyond, the planner decides by size.
+FEW_SOURCES = 1000
 
 
 def hashed(doc_id: Column) -> Column:
@@ -63,9 +65,10 @@ def _bits(documents: int) -> int:
 def mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, cycle: tuple[float, ...] = (3, 1, 2)) -> DataFrame:
     """doc_id, source, size, source_size, target, taken.
 
-    The driver gets one row per source and step; sources are a short, configured list.
+    The driver gets one row per source and step.
     """
     spark = docs.sparkSession
+    small = lambda df: F.broadcast(df) if len(size) <= FEW_SOURCES else df
     sized = durable(docs.select(F.col("doc_id"), F.col("source"), F.size(words(F.col("text"))).cast("long").alias("size"), hashed(F.col("doc_id")).alias("h")))
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     size = {r.source: int(r["size"]) for r in found}
@@ -78,7 +81,7 @@ def mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, cycle: tuple[f
     above = lambda h, n: F.expr(f"shiftright({h}, {HASH_BITS} - {n})")
     while any(s[6] < s[5] for s in state):
         steps = spark.createDataFrame([tuple(s) for s in state if s[6] < s[5]], schema)
-        inside = sized.join(F.broadcast(steps.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")) & (above("h", "used") == F.col("prefix")))
+        inside = sized.join(small(steps.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")) & (above("h", "used") == F.col("prefix")))
         inside = inside.withColumn("next", F.least(F.col("used") + LEVEL_BITS, F.col("bits")))
         sums = inside.withColumn("bucket", above("h", "next")).groupBy("source", "budget", "next", "bucket").agg(F.sum("size").alias("size"))
         # 2**LEVEL_BITS rows a source at most
@@ -93,7 +96,7 @@ def mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, cycle: tuple[f
                 r = rows[s[0]]
                 s[4], s[6], s[7] = s[4] - r["at"]["below"], r["next"], r["at"]["bucket"]
     ends = spark.createDataFrame([tuple(s) for s in state], schema).withColumnRenamed("source", "_s")
-    placed = sized.join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("_s"))).withColumn("bucket", above("h", "used"))
+    placed = sized.join(small(ends), F.col("source").eqNullSafe(F.col("_s"))).withColumn("bucket", above("h", "used"))
     # one bucket of each source, document by document
     rim = placed.where("bucket = prefix").groupBy("source", "budget", "h", "doc_id", "size").agg(F.count("*").alias("n"))
     rim = rim.groupBy("source", "budget").agg(F.sort_array(F.collect_list(F.struct("h", "doc_id", "size", "n"))).alias("docs"))
@@ -107,8 +110,7 @@ def mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, cycle: tuple[f
     got = rim.select("source", F.explode(F.aggregate("docs", empty, step, lambda a: a["got"])).alias("g"))
     got = got.select(F.col("source").alias("_t"), F.col("g.h").alias("_h"), F.col("g.doc_id").alias("_d"), F.col("g.size").alias("_z"), F.lit(True).alias("fits"))
     hit = F.col("source").eqNullSafe(F.col("_t")) & (F.col("h") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z"))
-    # at most one bucket of some hundred documents a source
-    both = placed.join(F.broadcast(got), hit, "left")
+    both = placed.join(small(got), hit, "left")
     part = F.when(F.col("bucket") < F.col("prefix"), 1).when((F.col("bucket") == F.col("prefix")) & F.col("fits"), 1).otherwise(0)
     return both.select("doc_id", "source", "size", "source_size", "target", ((F.col("whole") + part) * F.col("size")).cast("long").alias("taken"))
 
@@ -156,7 +158,7 @@ g AS (
   UNION ALL
   SELECT r.source, r.i, CASE WHEN r.size * r.k <= g.rest THEN g.rest - r.size * r.k ELSE g.rest END, r.size * r.k <= g.rest
   FROM g JOIN r ON r.source IS NOT DISTINCT FROM g.source AND r.i = g.i + 1)
-SELECT p.doc_id, p.size, p.source_size, round(p.target, 3) AS target,
+SELECT p.doc_id, p.size, p.source_size, p.target,
   ((p.whole + CASE WHEN p.bucket < e.edge OR coalesce(g.hit, false) THEN 1 ELSE 0 END) * p.size)::BIGINT AS taken
 FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
 LEFT JOIN r ON r.source IS NOT DISTINCT FROM p.source AND r.h = p.h AND r.doc_id IS NOT DISTINCT FROM p.doc_id AND r.size = p.size

@@ -31,12 +31,11 @@ def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "web-1")
+    judged = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "web-2")
     base = quality.passes("base-1")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & F.col("kept")).alias("kept"))
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
-from sluice.llm import chat_tree, components, knn, lm_scoring, mixing, near, packing, pigeonhole, quality, simhash, substring_dedup, token_counts, token_files
+from sluice.llm import chat_tree, common, components, knn, lm_scoring, mixing, near, packing, pigeonhole, quality, simhash, substring_dedup, token_counts, token_files
 from sluice.llm.common import table, whole_keys
 from sluice.llm.tokens import default_vocabulary, encoder
 
@@ -31,7 +31,7 @@ CASES = [
     (11, "ONE", "a"),
 ]
 FUNCTIONS = {
-    "quality": lambda d: quality.apply_policy(quality.ledger(d), "web-1"),
+    "quality": lambda d: quality.apply_policy(quality.ledger(d), "web-2"),
     "keep": quality.keep,
     "packing": packing.pack,
     "files": token_files.token_files,
@@ -135,6 +135,47 @@ def test_token_file_round_trip(top):
     assert (token_files.decode_file(token_files.encode_file([], np.zeros(0, np.uint32)))[1]).size == 0
 
 
+def test_token_file_order(docs, tmp_path):
+    """Many files a partition, by a path without a scheme: starts go on from file to file."""
+    manifest = token_files.write_token_files(docs, f"{tmp_path}/tokens", file_ids=1000)
+    files = sorted(manifest.collect(), key=lambda r: r.start)
+    assert len(files) > 3 and all(r.file.startswith("file:///") for r in files)
+    assert [r.start for r in files] == [0, *np.cumsum([r["ids"] for r in files])[:-1].tolist()]
+    found = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in found]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d)) and len(ids) == len(CASES)
+
+
+def test_shared_folder(spark):
+    """Plain sessions: a local one gets a folder, a cluster must name it."""
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, path):
+            self.dir = path + "/uuid"
+
+    class Session:
+        conf = Conf()
+
+    for master in ("local", "local[*]", "local[8]"):
+        Session.sparkContext = Context(master)
+        made = common.shared_dir(Session)
+        assert made.startswith("file:///") and common.shared_dir(Session) == made
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        Session.sparkContext = Context(master)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(Session)
+
+
 def test_exceptions_make_blocks_small():
     ids = np.full(4096, 5, dtype=np.uint32)
     ids[::100] = 40_000
