@@ -6,13 +6,19 @@ one aggregation by word key; its answers equal those of the row form.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import WORD_BITS
-from sluice.operators.terms import Circuit, Slice
+from sluice.operators.selection import Selection
+from sluice.operators.terms import Circuit, Slice, Term
 from sluice.plans.context import ROW_ID, QueryContext
 
+#: Filters up to which words are made side by side.
+FEW = 64
+
 
 def _bit(row_id: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), row_id.bitwiseAND(63).cast("int"))
@@ -20,6 +26,12 @@ def _bit(row_id: Column) -> Column:
 
 def filter_words(ctx: QueryContext, *names: str) -> DataFrame:
     """name, word_key, word for each filter and word with a row: one pass over the table."""
+    if len(names) <= FEW:
+        # a row shuffled for each word, whatever the number of filters
+        bit = _bit(ctx.row_id)
+        wide = ctx.df.groupBy(F.shiftright(ctx.row_id, WORD_BITS).alias("word_key")).agg(*(F.bit_or(F.when(ctx.filter(n), bit)).alias(f"_{i}") for i, n in enumerate(names)))
+        found = wide.select("word_key", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"_{i}").alias("word")) for i, n in enumerate(names)))).alias("w"))
+        return found.select("w.name", "word_key", "w.word").where("word is not null")
     held = F.filter(F.array(*(F.when(ctx.filter(n), F.lit(n)) for n in names)), lambda n: n.isNotNull())
     rows = ctx.df.select(ctx.row_id.alias(ROW_ID), F.explode(held).alias("name"))
     return rows.groupBy("name", F.shiftright(ROW_ID, WORD_BITS).alias("word_key")).agg(F.bit_or(_bit(F.col(ROW_ID))).alias("word"))
@@ -46,6 +58,13 @@ def cardinality(words: DataFrame) -> DataFrame:
     return words.agg(F.coalesce(F.sum(F.bit_count("word")), F.lit(0)).cast("long").alias("rows"))
 
 
+def selected(ctx: QueryContext, words: DataFrame) -> Selection:
+    """The context's rows in a set of words, to be reduced like any selection: blocks of 64 rows without one aren't read on."""
+    kept = words.select(F.col("word_key").alias("_word_key"), F.col("word").alias("_word"))
+    met = ctx.df.join(kept, F.shiftright(ctx.row_id, WORD_BITS) == F.col("_word_key")).where(F.col("_word").bitwiseAND(_bit(ctx.row_id)) != 0)
+    return Selection(replace(ctx, df=met.drop("_word_key", "_word"), predicates={"words": F.lit(True)}), Term("name", "words"), ("words",))
+
+
 def rows_of_words(words: DataFrame) -> DataFrame:
     """row_id of each set bit."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftrightunsigned", F.col("word"), i).bitwiseAND(1) == 1)

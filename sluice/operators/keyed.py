@@ -39,6 +39,11 @@ class KeyedTable:
         found = aggregate(mapped)
         return self.df.agg(F.when(found.isNull(), initial).otherwise(join(initial, found)).alias("value"))
 
+    def fold_pairs(self, initial: Column, value: Callable[[Column, Column], Column], aggregate: Callable[[Column], Column] = F.sum, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> DataFrame:
+        """``initial`` joined with an aggregate of any function of key and value."""
+        found = aggregate(value(F.col("key"), F.col("value")))
+        return self.df.agg(F.when(found.isNull(), initial).otherwise(join(initial, found)).alias("value"))
+
     def merge(self, other: KeyedTable, every: bool = False) -> DataFrame:
         """key, value, other: keys of either table, or only those of both."""
         return self.df.join(other.df.withColumnRenamed("value", "other"), "key", "inner" if every else "full_outer")

@@ -7,7 +7,7 @@ give 0.0 for sums, 0 for counts and NaN for ratios and correlations.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +36,11 @@ class Reducer:
         return found
 
 
+    def typed(self, kind: str) -> Reducer:
+        """The same result as another type, such as long or string."""
+        return replace(self, finish=lambda p: self.finish(p).cast(kind))
+
+
 def total(x: str) -> Reducer:
     """The sum of a metric."""
     return Reducer(("s",), lambda c: {"s": F.sum(c.metric(x))}, lambda p: F.coalesce(p["s"], F.lit(0.0)))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ class Selection:
 
     def _scan(self) -> DataFrame:
         """The context's rows that the circuit selects, before the block rule."""
-        term = self.term or NOTHING
+        term = (self.term or NOTHING).simplified()
         implied = term.implied(self.ctx.predicates)
         if implied is not None and term.monotone:
             return self.ctx.df.where(implied)
@@ -45,7 +46,8 @@ class Selection:
 
     def source(self) -> DataFrame:
         """The selected rows with the columns of the context's table."""
-        if not self.every:
+        # a row in all filters is in a block that all filters have
+        if not self.every or (self.term is not None and (self.term.simplified().conjoined() or set()) >= set(self.names)):
             return self._scan()
         # one row a block; the planner broadcasts it if its measured size allows
         blocks = self.blocks().withColumnRenamed(BLOCK, "_block")
@@ -76,8 +78,30 @@ class Selection:
     def cardinality(self) -> int:
         return self.source().count()
 
-    def contains(self, row_id: int) -> bool:
-        return bool(self.rows().where(F.col(ROW_ID) == row_id).limit(1).count())
+    def found(self, first: int, last: int | None = None) -> DataFrame:
+        """One row, ``found``: whether a row with this id, or one of a range with both ends, is selected; the ids reach the scan."""
+        within = F.col(ROW_ID) == first if last is None else F.col(ROW_ID).between(first, last)
+        return self.rows().where(within).limit(1).agg((F.count("*") > 0).alias("found"))
+
+    def contains(self, first: int, last: int | None = None) -> bool:
+        return self.found(first, last).first()[0]
+
+    def reduce_batches(self, partial: Callable[[pa.Table], pa.Table], merge: Callable[[pa.Table], pa.Table], schema: str, *columns: Column) -> DataFrame:
+        """An aggregate that columns can't express: ``partial`` of the columns' rows some thousands at a time, ``merge`` of what tasks have.
+
+        ``merge`` must be associative and give few rows; each task merges its own before one task merges theirs.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                new = partial(pa.Table.from_batches([batch]))
+                held = new if held is None else merge(pa.concat_tables([held, new]))
+            if held is not None:
+                yield from held.to_batches()
+
+        parts = self.source().select(*columns).mapInArrow(run, schema)
+        return parts.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(lambda t: merge(t.drop_columns("_all")), schema)
 
     def is_empty(self) -> bool:
         """No block was evaluated; a block whose result is empty still counts as present."""
@@ -115,11 +139,14 @@ class Selection:
         """One row, ``value``: the values folded in row order with an associative function.
 
         Rows are folded by block, then block results by groups of as many blocks,
-        and so on; no task holds more than one group.
+        and so on; no task holds more than one group.  The largest id, which tells
+        how many times, is looked up first; negative ids are refused.
         """
         bits = self.ctx.block_bits
         part = self.source().select(self.ctx.row_id.alias("k"), value.alias("v"))
-        top = part.agg(F.max("k")).first()[0]
+        least, top = part.agg(F.min("k"), F.max("k")).first()
+        if least is not None and least < 0:
+            raise ValueError(f"row ids start from 0; there is {least}")
 
         def ordered(rows: Column) -> Column:
             vs = F.transform(F.sort_array(rows), lambda r: r["v"])

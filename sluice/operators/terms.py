@@ -52,6 +52,37 @@ class Term:
         a, *b = (x.column(filters) for x in self.args)
         return {"and": lambda: a & b[0], "or": lambda: a | b[0], "xor": lambda: a != b[0], "less": lambda: a & ~b[0], "not": lambda: ~a}[self.op]()
 
+    def simplified(self) -> Term:
+        """The same circuit without constants, or a constant alone, so that a plain condition can reach the scan."""
+        if self.op in ("name", "const"):
+            return self
+        a, *b = (x.simplified() for x in self.args)
+        if self.op == "not":
+            return Term("const", not a.args[0]) if a.op == "const" else ~a
+        b = b[0]
+        held = {x.args[0] for x in (a, b) if x.op == "const"}
+        if not held:
+            return Term(self.op, a, b)
+        if self.op == "less":
+            if b.op == "const":
+                return NOTHING if b.args[0] else a
+            return (~b).simplified() if a.args[0] else NOTHING
+        if a.op == "const":
+            a, b = b, a
+        value = b.args[0]
+        if self.op == "xor":
+            return (~a).simplified() if value else a
+        return a if value == (self.op == "and") else Term("const", self.op == "or")
+
+    def conjoined(self) -> set[str] | None:
+        """The names of a pure conjunction, or None."""
+        if self.op == "name":
+            return {self.args[0]}
+        if self.op != "and":
+            return None
+        a, b = (x.conjoined() for x in self.args)
+        return None if a is None or b is None else a | b
+
     def implied(self, predicates: Mapping[str, Column]) -> Column | None:
         """A condition on the plain predicates that every selected row fulfils; None: no such condition."""
         if self.op == "name":

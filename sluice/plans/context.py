@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions import BLOCK_BITS, block_key
+from sluice.functions import BLOCK_BITS, WORD_BITS, block_key
 
 ROW_ID = "row_id"
 
@@ -80,6 +80,29 @@ class QueryContext:
     def with_filter(self, name: str, predicate: Column) -> QueryContext:
         return replace(self, predicates=self.predicates | {name: predicate})
 
+    def _joined(self, rows: DataFrame, key: Column, columns: list[Column], mark: str) -> DataFrame:
+        """The table with ``columns`` of other rows, null where there is none; the planner picks the join by size."""
+        return self.df.join(rows.select(F.col(rows.columns[0]).alias(mark), *columns), key == F.col(mark), "left")
+
+    def with_rows(self, name: str, rows: DataFrame) -> QueryContext:
+        """A further filter that was made elsewhere: a list of row ids, in any order and with repeats."""
+        mark = f"_rows_{name}"
+        joined = self._joined(rows.select(ROW_ID).where(F.col(ROW_ID).isNotNull()).distinct(), self.row_id, [], mark)
+        return replace(self, df=joined, predicates=self.predicates | {name: F.col(mark).isNotNull()})
+
+    def with_words(self, name: str, words: DataFrame) -> QueryContext:
+        """A further filter from stored words (word_key, word), such as a circuit's result."""
+        mark, word = f"_key_{name}", f"_word_{name}"
+        joined = self._joined(words.select("word_key", "word"), F.shiftright(self.row_id, WORD_BITS), [F.col("word").alias(word)], mark)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), self.row_id.bitwiseAND(63).cast("int"))
+        return replace(self, df=joined, predicates=self.predicates | {name: F.col(word).bitwiseAND(bit) != 0})
+
+    def with_metric_of(self, name: str, values: DataFrame) -> QueryContext:
+        """A further metric that was made elsewhere: (row_id, value), one value a row; rows without one count 0.0."""
+        mark, value = f"_id_{name}", f"_value_{name}"
+        joined = self._joined(values.select(ROW_ID, "value"), self.row_id, [F.col("value").alias(value)], mark)
+        return replace(self, df=joined, metrics=self.metrics | {name: F.coalesce(F.col(value).cast("double"), F.lit(0.0))})
+
     def persist(self) -> QueryContext:
         """The filters and metrics evaluated once and kept for many queries."""
         names = {n: f"_f{i}" for i, n in enumerate(self.predicates)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from operator import and_, or_, sub, xor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import bit_reverse, block_key, fold_array, horizontal_sum, vector_add
@@ -14,7 +14,7 @@ from sluice.operators.keyed import KeyedTable
 from sluice.operators.selection import Selection, evaluate, evaluate_if_keys_intersect, select_filter
 from sluice.operators.terms import union_of
 from sluice.plans.context import DatasetSpec, QueryContext
-from sluice.sources import number_rows, read_table
+from sluice.sources import latest, number_rows, read_table, synthetic_rows, synthetic_trades
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -193,24 +193,30 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate_if_keys_intersect(orders(spark, sf), lambda s: s["high"] & s["low"], "high", "low").blocks()
 
 
-def _contains(row_id: int) -> Query:
-    return lambda spark, sf: select_filter(orders(spark, sf), "filled").rows().agg(F.coalesce(F.bool_or(F.col("row_id") == row_id), F.lit(False)).alias("found"))
+def _contains(*row_id: int) -> Query:
+    return lambda spark, sf: select_filter(orders(spark, sf), "filled").found(*row_id)
 
 
 for _name, _id in (("contains_hit", 1), ("contains_miss", 15_000_000)):
     query(_name, f"SELECT COUNT(*) > 0 AS found FROM orders WHERE {S} AND o_orderkey = {_id}")(_contains(_id))
+for _name, _first, _last in (("contains_range", 100, 140), ("contains_range_miss", 15_000_000, 15_000_100)):
+    query(_name, f"SELECT COUNT(*) > 0 AS found FROM orders WHERE {S} AND o_orderkey BETWEEN {_first} AND {_last}")(_contains(_first, _last))
+
+
+def _presence(found: Selection) -> DataFrame:
+    """The numbers of blocks and of rows, both in one aggregate."""
+    blocks = found.blocks().select(F.lit(1).alias("blocks"), F.lit(0).alias("rows"))
+    return blocks.union(found.source().select(F.lit(0), F.lit(1))).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("blocks", "rows")))
 
 
 @query("is_empty_blocks", f'SELECT COUNT(DISTINCT {BLOCK}) AS blocks, CAST(0 AS BIGINT) AS "rows" FROM orders WHERE {S}')
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    nothing = evaluate(orders(spark, sf), lambda s: s["filled"] - s["filled"], "filled")
-    return nothing.blocks().agg(F.count("*").alias("blocks")).join(nothing.reduce(rows=reducers.count()))
+    return _presence(evaluate(orders(spark, sf), lambda s: s["filled"] - s["filled"], "filled"))
 
 
 @query("no_circuit", 'SELECT CAST(0 AS BIGINT) AS blocks, CAST(0 AS BIGINT) AS "rows"')
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    nothing = evaluate(orders(spark, sf), lambda s: None, "filled")
-    return nothing.blocks().agg(F.count("*").alias("blocks")).join(nothing.reduce(rows=reducers.count()))
+    return _presence(evaluate(orders(spark, sf), lambda s: None, "filled"))
 
 
 def _of_none(column: str, make: Callable[[], reducers.Reducer]) -> Query:
@@ -277,7 +283,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("full_pages", f"SELECT {BLOCK} AS block_key FROM orders GROUP BY 1 HAVING COUNT(*) = 1024")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     everything = evaluate(orders(spark, sf), lambda s: s["filled"] | ~s["filled"], "filled")
-    return everything.block_cardinality().where("rows = 1024").select("block_key")
+    return everything.pages().where("rows = 1024").select("block_key")
 
 
 @query("bit_reverse_keys", "SELECT k, CAST(list_sum([CASE WHEN (k >> i) & 1 = 1 THEN 1 << (15 - i) ELSE 0 END FOR i IN range(16)]) AS INTEGER) AS reversed FROM (SELECT DISTINCT CAST(FLOOR(o_orderkey / 16) AS BIGINT) AS k FROM orders)")
@@ -368,21 +374,111 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return ctx.df.agg(F.round(F.sum(ctx.metric("price")), 2).alias("total"))
 
 
-@query("array_pmcc", "SELECT ROUND(CORR(l_quantity, l_extendedprice), 6) AS r FROM lineitem WHERE l_orderkey < 256")
+@query("array_pmcc", "SELECT ROUND(CORR(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Pearson's r of two arrays, unfolded to rows."""
-    rows = read_table(spark, sf, "lineitem").where("l_orderkey < 256")
-    arrays = rows.agg(F.arrays_zip(F.collect_list("l_extendedprice").alias("x"), F.collect_list("l_quantity").alias("y")).alias("a"))
-    pairs = arrays.select(F.explode("a").alias("p")).select(F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    """Pearson's r of two columns of arrays, a pair of arrays for each 256 orders, unfolded to rows."""
+    rows = read_table(spark, sf, "lineitem").groupBy(block_key(F.col("l_orderkey"), 8)).agg(F.collect_list(F.struct("l_extendedprice", "l_quantity")).alias("a"))
+    arrays = rows.select(F.col("a.l_extendedprice").alias("x"), F.col("a.l_quantity").alias("y"))
+    pairs = arrays.select(F.explode(F.arrays_zip("x", "y")).alias("p")).select("p.x", "p.y")
     spec = DatasetSpec().filter("all", F.lit(True)).metric("x", F.col("x")).metric("y", F.col("y"))
     return _rounded(select_filter(spec.over(pairs), "all").reduce(r=reducers.correlation("x", "y")), r=6)
 
 
-@query("vector_functions", "SELECT n_regionkey AS region, CAST(COUNT(*) * 2 AS DOUBLE) AS doubled, CAST(SUM(n_nationkey) AS DOUBLE) AS total FROM nation GROUP BY 1")
+@query("vector_functions", "SELECT n_regionkey AS region, CAST(SUM(n_nationkey + LENGTH(n_name)) AS DOUBLE) AS added, CAST(SUM(n_nationkey) AS DOUBLE) AS total FROM nation GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").cast("double").alias("v"), F.length("n_name").cast("double").alias("w"))).alias("a"))
+    return rows.select(F.col("n_regionkey").alias("region"), horizontal_sum(vector_add(F.col("a.v"), F.col("a.w"))).alias("added"), fold_array(F.col("a.v"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("vector_lengths_differ", "SELECT n_regionkey AS region, LENGTH(n_name) % 2 = 1 AS refused FROM nation")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether adding arrays is refused for their lengths; the error is raised only where they differ."""
+    rows = read_table(spark, sf, "nation").withColumns({"a": F.array_repeat(F.lit(1.0), 2), "b": F.array_repeat(F.lit(1.0), 2 + F.length("n_name") % 2)})
+    differ = F.size("a") != F.size("b")
+    added = F.when(~differ, F.size(vector_add(F.col("a"), F.col("b"))))
+    return rows.select(F.col("n_regionkey").alias("region"), added.isNull().alias("refused"))
+
+
+@query("id_list_filter", f"SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE {S} AND o_orderkey IN (SELECT event_id FROM events WHERE {C})")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A filter that comes as a list of row ids from another table."""
+    ids = read_table(spark, sf, "events").where("event_type = 'click'").select(F.col("event_id").alias("row_id"))
+    ctx = orders(spark, sf).with_rows("listed", ids)
+    return _rounded(evaluate(ctx, lambda s: s["filled"] & s["listed"], "filled", "listed").reduce(n=reducers.count(), total=reducers.total("price")), total=2)
+
+
+@query("joined_metric", f"SELECT ROUND(SUM(o_totalprice * COALESCE(value, 0)), 2) AS total FROM orders LEFT JOIN events ON event_id = o_orderkey WHERE {E} OR {S}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A metric that comes from another table by row id."""
+    values = read_table(spark, sf, "events").select(F.col("event_id").alias("row_id"), "value")
+    ctx = orders(spark, sf).with_metric_of("weight", values)
+    return _rounded(evaluate(ctx, lambda s: s["dear"] | s["filled"], "dear", "filled").reduce(total=reducers.sum_product("price", "weight")), total=2)
+
+
+@query("bitmap_sum_product", f"SELECT ROUND(SUM(o_totalprice * o_totalprice), 0) AS total, COUNT(*) AS n FROM orders WHERE {E} AND {S}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship over an index: a circuit on words, then a reduction of the rows that it selects."""
+    ctx = orders(spark, sf)
+    words = bitmaps.circuit_words(bitmaps.filter_words(ctx, "dear", "filled"), lambda s: s["dear"] & s["filled"], "dear", "filled")
+    return _rounded(bitmaps.selected(ctx, words).reduce(total=reducers.sum_product("price", "price"), n=reducers.count()), total=0)
+
+
+@query("words_filter", f"SELECT COUNT(*) AS n FROM orders WHERE ({E} <> {S}) AND NOT {U}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored words as one filter among others."""
+    ctx = orders(spark, sf)
+    words = bitmaps.circuit_words(bitmaps.filter_words(ctx, "dear", "filled"), lambda s: s["dear"] ^ s["filled"], "dear", "filled")
+    return evaluate(ctx.with_words("stored", words), lambda s: s["stored"] - s["urgent"], "stored", "urgent").reduce(n=reducers.count())
+
+
+@query("last_write_wins", "SELECT user_id AS row_id, ARG_MAX(value, event_id) AS value FROM events GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return latest(read_table(spark, sf, "events").select(F.col("user_id").alias("row_id"), F.col("event_id").alias("seq"), "value"))
+
+
+@query("keyed_merge", "SELECT COALESCE(o_orderkey, event_id) AS key, o_totalprice AS value, e.value AS other FROM orders FULL JOIN events e ON event_id = o_orderkey")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    prices = KeyedTable(read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value")))
+    return prices.merge(KeyedTable(read_table(spark, sf, "events").select(F.col("event_id").alias("key"), "value")))
+
+
+@query("fold_pairs", f"SELECT ROUND(MAX(o_totalprice / (1 + o_orderkey % 7)), 4) AS value FROM orders WHERE {S}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    ctx = orders(spark, sf)
+    rows = select_filter(ctx, "filled").source().select(ctx.row_id.alias("key"), ctx.metric("price").alias("value"))
+    return _rounded(KeyedTable(rows).fold_pairs(F.lit(0.0), lambda k, v: v / (1 + k % 7), F.max, F.greatest), value=4)
+
+
+@query("custom_batches", f"SELECT l_extendedprice AS price FROM lineitem WHERE {P} ORDER BY 1 DESC LIMIT 3")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """An aggregate that isn't a column expression: the three greatest prices, from Arrow batches."""
+    ctx = lines(spark, sf)
+    top = lambda t: t.sort_by([("price", "descending")]).slice(0, 3)
+    return select_filter(ctx, "returned").reduce_batches(top, top, "price double", ctx.metric("price").alias("price"))
+
+
+@query("typed_results", f"SELECT CAST(SUM(l_quantity) AS BIGINT) AS qty, CAST(COUNT(*) AS VARCHAR) AS n FROM lineitem WHERE {P}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return select_filter(lines(spark, sf), "returned").reduce(qty=reducers.total("qty").typed("long"), n=reducers.count().typed("string"))
+
+
+@query("persisted_context", f"SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE {E} OR {U}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    ctx = orders(spark, sf).persist()
+    return _rounded(evaluate(ctx, lambda s: s["dear"] | s["urgent"], "dear", "urgent").reduce(n=reducers.count(), total=reducers.total("price")), total=2)
+
+
+@query("synthetic_trades", "SELECT 20000::BIGINT AS n, 10::BIGINT AS instruments, 5::BIGINT AS currencies, true AS within")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    trades = synthetic_trades(spark, 20_000)
+    within = F.bool_and((F.least("price", "qty") >= 0) & (F.greatest("price", "qty") < 1))
+    return trades.agg(F.count("*").alias("n"), F.countDistinct("instrument").alias("instruments"), F.countDistinct("ccy").alias("currencies"), within.alias("within"))
+
+
+@query("synthetic_rows", "SELECT 6::BIGINT AS blocks, true AS once")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    keys = read_table(spark, sf, "nation").groupBy("n_regionkey").agg(F.transform(F.collect_list("n_nationkey"), lambda x: x.cast("double")).alias("v"))
-    ones: Column = F.transform("v", lambda x: F.lit(1.0))
-    return keys.select(F.col("n_regionkey").alias("region"), horizontal_sum(vector_add(ones, ones)).alias("doubled"), fold_array(F.col("v"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    rows = synthetic_rows(spark, 6)
+    return rows.agg(F.countDistinct(block_key(F.col("row_id"))).alias("blocks"), (F.count("*") == F.countDistinct("row_id")).alias("once"))
 
 
 @query("numbered_rows", "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS row_id, l_orderkey, l_linenumber FROM lineitem")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.plans.context import ROW_ID
+from sluice.sources.shared import durable
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,21 +27,19 @@ def number_rows(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` with dense row ids from 0 in the given order.
 
     Rows are range-partitioned and numbered within partitions; only the number of
-    rows of each partition goes to the driver.  The partitioned rows are kept, so
-    that both passes see the same ones.
+    rows of each partition goes to the driver.  The placed rows are written to the
+    shared folder, so that both passes see the same ones, ties and lost executors
+    included; rows of equal order get their ids in any order.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumn("_at", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_at", 33)
-    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return placed.select(F.lit(0).cast("long").alias(ROW_ID), *df.columns)
+    own = F.struct("*").alias("_row")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(own, F.monotonically_increasing_id().alias("_at"))
+    placed = durable(placed.select("_row", F.shiftright("_at", 33).cast("int").alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_at")))
     starts, at = [], 0
-    for p in range(max(counts) + 1):
-        starts.append(at)
-        at += counts.get(p, 0)
-    first = F.get(F.array(*(F.lit(s).cast("long") for s in starts)), part.cast("int"))
-    return placed.select((F.col("_at").bitwiseAND((1 << 33) - 1) + first).alias(ROW_ID), *df.columns)
+    for r in sorted(placed.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        starts.append((r["_part"], at))
+        at += r["n"]
+    first = df.sparkSession.createDataFrame(starts, "_part int, _first long")
+    return placed.join(first, "_part").select((F.col("_at") + F.col("_first")).alias(ROW_ID), "_row.*")
 
 
 def synthetic_trades(spark: SparkSession, n: int, instruments: int = 10, currencies: int = 5, seed: int = 42) -> DataFrame:

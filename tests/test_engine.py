@@ -4,14 +4,15 @@ import math
 import random
 
 import pytest
-from conftest import rows
+from conftest import SF, rows
 from pyspark.sql import functions as F
 from sluice.functions import bit_reverse, horizontal_sum, page, slot, vector_add
 from sluice.operators import bitmaps, reducers, sets
 from sluice.operators.keyed import KeyedTable
 from sluice.operators.selection import evaluate, evaluate_if_keys_intersect, select_filter
-from sluice.operators.terms import NOTHING, Slice, intersection_of, union_of
+from sluice.operators.terms import NOTHING, Slice, Term, intersection_of, union_of
 from sluice.plans.context import DatasetSpec
+from sluice.plans.queries import QUERIES
 from sluice.sources import latest, number_rows, row_set, synthetic_rows, synthetic_trades
 from sluice.streaming import ingest, snapshot
 
@@ -38,6 +39,54 @@ def many(spark):
     return context(spark, data), data
 
 
+def test_fold_refuses_negative_ids(spark):
+    ctx = context(spark, [(i, True, None, None, 1.0, 1.0) for i in (-40, -1, 5)])
+    with pytest.raises(ValueError, match="-40"):
+        select_filter(ctx, "a").fold(F.lit(0.0), ctx.metric("x"), lambda a, b: a + b)
+
+
+def test_constants_leave_circuits():
+    a, true = Term("name", "a"), Term("const", True)
+    same = {a | NOTHING: "a", NOTHING | a: "a", a & true: "a", a - NOTHING: "a", a ^ NOTHING: "a", ~NOTHING & a: "a"}
+    assert all(t.simplified().op == "name" for t in same)
+    assert all(t.simplified().op == "not" for t in (true - a, a ^ true, true ^ a))
+    for t, value in ((a | true, True), (a & NOTHING, False), (a - true, False), (NOTHING - a, False), (~true, False)):
+        assert t.simplified().op == "const" and t.simplified().args[0] is value
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark):
+    found = {name: plan(QUERIES[name](spark, SF)) for name in ("contains_hit", "contains_range", "slice_default", "keys_intersect_and", "sum_product_keys_intersect", "is_empty_blocks", "no_circuit", "keys_intersect_xor", "array_pmcc")}
+    assert not any("NestedLoop" in p or "Cartesian" in p for p in found.values())
+    assert "EqualTo(o_orderkey,1)" in found["contains_hit"] and "GreaterThanOrEqual(o_orderkey,100)" in found["contains_range"]
+    assert "GreaterThan(o_totalprice,400000.0)" in found["slice_default"]
+    assert "Join" not in found["keys_intersect_and"] + found["sum_product_keys_intersect"] and "Join" in found["keys_intersect_xor"]
+
+
+def test_separate_sources(spark, many):
+    """A filter from an id list, one from words and a metric from another table, together."""
+    ctx, data = many
+    listed = [i for i, *_ in data if i % 5 == 0]
+    ids = spark.createDataFrame([(i,) for i in [*listed, listed[0], None, 10**9]], "row_id long")
+    words = bitmaps.circuit_words(bitmaps.filter_words(ctx, "a", "b"), lambda s: s["a"] & s["b"], "a", "b")
+    values = spark.createDataFrame([(i, float(i % 11)) for i in listed], "row_id long, value double")
+    wide = ctx.with_rows("listed", ids).with_words("both", words).with_metric_of("far", values)
+    got = evaluate(wide, lambda s: s["listed"] | s["both"], "listed", "both").reduce(n=reducers.count(), far=reducers.total("far")).first()
+    chosen = [i for i, a, b, *_ in data if i % 5 == 0 or (a and b)]
+    assert got.n == len(chosen) and got.far == sum(float(i % 11) for i in chosen if i % 5 == 0)
+    assert bitmaps.selected(ctx, words).cardinality() == sum(1 for _, a, b, *_ in data if a and b)
+
+
+def test_words_of_many_filters(many, monkeypatch):
+    ctx, _ = many
+    few = rows(bitmaps.filter_words(ctx, "a", "b", "c"))
+    monkeypatch.setattr(bitmaps, "FEW", 1)
+    assert rows(bitmaps.filter_words(ctx, "a", "b", "c")) == few
+
+
 OPERATIONS = {
     "and": (lambda s: s["a"] & s["b"], lambda a, b: a and b),
     "or": (lambda s: s["a"] | s["b"], lambda a, b: a or b),
