@@ -6,8 +6,6 @@ what ``bytes.split()`` yields, and what :func:`split_words` finds with numpy.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,6 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.sources.shared import durable as durable
+from sluice.sources.shared import shared_dir as shared_dir
+
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _IS_SEPARATOR = np.zeros(256, dtype=bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
@@ -26,21 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder.
-
-    Where neither is set, a temporary folder serves a local master; a cluster has none and is refused.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sluice-"))
-        base = context.getCheckpointDir()
-    return base.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}/{name}"
 
@@ -58,20 +44,6 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Computed once, written to the shared folder and cut from its lineage.
-
-    Spark deletes the files once nothing refers to them, unless the session says otherwise.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(spark))
-    context._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    return df.checkpoint(eager=True)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; file sizes for a plain scan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
