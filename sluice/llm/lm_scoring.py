@@ -47,6 +47,8 @@ from sluice.llm.common import durable, small_batches
 VOCABULARY, MU, HOT = 50_000, 2.0, 1 << 19
 #: Distinct words and bigrams that a task holds before it sends their counts, and words of the corpus for each shard.
 HELD_WORDS, HELD_BIGRAMS, TOKENS_A_SHARD = 300_000, 1 << 21, 1 << 20
+#: log2 of the numbers of a block of documents, whose sums are one row.
+DOC_BITS = 10
 _ODD = 0x9E3779B97F4A7C15
 MODELS = ("target", "background")
 
@@ -271,6 +273,55 @@ def frequent(counted: DataFrame, shards: Shards, sizes: np.ndarray, most: int) -
     return tuple(found[c].to_numpy()[order] for c in ("bigram", *MODELS))
 
 
+def _by_block(rids: np.ndarray, sums, doc_ids: pa.Array | None = None, n_tokens: np.ndarray | None = None) -> pa.RecordBatch:
+    """Sums of documents, sorted by rid, in one row for each block of them; the documents themselves come before what is added."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(rids >> DOC_BITS)) + 1, [len(rids)]]).tolist()
+    spans = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+    offsets = pa.array([0, *(b for _, b in spans)], type=pa.int32())
+    none = pa.nulls(len(spans), pa.list_(pa.int64()))
+    lists = lambda v: none if v is None else pa.ListArray.from_arrays(offsets, v if isinstance(v, pa.Array) else pa.array(v))
+    columns = [pa.array([int(rids[a]) >> DOC_BITS for a, _ in spans], type=pa.int64()), pa.array([int(doc_ids is None)] * len(spans), type=pa.int64()), pa.array([_steps(rids[a:b]) for a, b in spans], type=pa.binary())]
+    columns += [lists(doc_ids), lists(n_tokens), *(pa.array([v[a:b].astype("<f8").tobytes() for a, b in spans], type=pa.binary()) for v in sums)]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "kind", "rids", "doc_ids", "n_tokens", *MODELS])
+
+
+_BLOCKS = "block long, kind long, rids binary, doc_ids array<long>, n_tokens array<long>, target binary, background binary"
+SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def _means(batches):
+    """Scores of the documents of blocks, which come sorted by block, the documents first."""
+    at, docs, more = None, [], []
+
+    def out():
+        rids = np.concatenate([d[0] for d in docs])
+        ids, n = (pa.concat_arrays([d[i] for d in docs]) for i in (1, 2))
+        sums = [np.concatenate([d[3][m] for d in docs]) for m in (0, 1)]
+        if more:
+            order = np.argsort(rids)
+            place = order[np.searchsorted(rids[order], np.concatenate([a[0] for a in more]))]
+            for m in (0, 1):
+                sums[m] = sums[m] + np.bincount(place, weights=np.concatenate([a[1][m] for a in more]), minlength=len(rids))
+        size = n.to_numpy()
+        means = [v / np.maximum(size, 1) for v in sums]
+        return pa.RecordBatch.from_arrays([ids, n, *(pa.array(v, mask=size == 0) for v in (*means, means[0] - means[1]))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    for batch in batches:
+        for i, (block, kind, steps) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            if block != at and docs:
+                yield out()
+                docs, more = [], []
+            at = block
+            rids = np.cumsum(unpack(steps))
+            sums = [np.frombuffer(batch.column(c)[i].as_py(), dtype="<f8") for c in (5, 6)]
+            if kind:
+                more.append((rids, sums))
+            else:
+                docs.append((rids, batch.column(3)[i].values, batch.column(4)[i].values, sums))
+    if docs:
+        yield out()
+
+
 def _own(row: np.ndarray, key: np.ndarray, base: int) -> np.ndarray:
     """How often each token's key comes in its row."""
     _, where, n = np.unique(row * base + key, return_inverse=True, return_counts=True)
@@ -317,7 +368,7 @@ def score(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, hot: int
                 p1 = (singles[m, 0][ids] - own * own_word + 1) / (totals[m] - own * n_row[row] + width - 1)
                 bits[here] -= np.log2(frequent_counts[m][place[here]] - (own * n)[here] + MU * p1[here])
                 columns.append(np.bincount(row, weights=n * bits, minlength=batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_row), *(pa.array(c) for c in columns)], names=["rid", "doc_id", "n_tokens", *MODELS])
+            yield _by_block(batch.column(0).to_numpy(), columns, batch.column(1), n_row)
 
     asked_names = "shard kind keys at n own_word rids sizes"
     asked_schema = "shard long, kind long, keys binary, at binary, n binary, own_word binary, rids binary, sizes binary"
@@ -339,9 +390,6 @@ def score(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, hot: int
         singles = shared.value[0]
         keys, counts, held, size = None, None, [], 0
 
-        def out(sums):
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in sums], names=["rid", *MODELS])
-
         for batch in batches:
             for _, kind, steps, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = np.cumsum(unpack(steps))
@@ -362,21 +410,18 @@ def score(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, hot: int
                     held = [_summed(held)]
                     size = len(held[0][0])
                     if 2 * size > HELD_BIGRAMS:
-                        yield out(held[0])
+                        yield _by_block(held[0][0], held[0][1:])
                         held, size = [], 0
         if held:
-            yield out(_summed(held))
+            rids, *sums = _summed(held)
+            yield _by_block(rids, sums)
 
     rows = coded.select("rid", "doc_id", "target", "ids")
     nothing = F.lit(None).cast("binary")
     table = counted.select("shard", F.lit(0).cast("long").alias("kind"), "keys", F.col("target").alias("at"), F.col("background").alias("n"), nothing.alias("own_word"), nothing.alias("rids"), nothing.alias("sizes"))
     met = table.union(rows.mapInArrow(ask, asked_schema)).repartition("shard").sortWithinPartitions("shard", "kind")
-    answers = met.mapInArrow(answer, "rid long, target double, background double")
-    answers = answers.select("rid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), *MODELS)
-    own = rows.mapInArrow(known_part, "rid long, doc_id long, n_tokens long, target double, background double")
-    sums = own.union(answers).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(name).alias(name) for name in MODELS))
-    means = [F.when(F.col("n_tokens") > 0, F.col(name) / F.col("n_tokens")).alias(f"{name}_loss") for name in MODELS]
-    return sums.select("doc_id", "n_tokens", *means).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    parts = rows.mapInArrow(known_part, _BLOCKS).union(met.mapInArrow(answer, _BLOCKS))
+    return parts.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_means, SCHEMA)
 
 
 ORACLE_SQL = rf"""
