@@ -46,7 +46,7 @@ from sluice.llm.common import durable, small_batches
 #: Words of the shared vocabulary, weight of the unigram model, and bigrams whose counts are broadcast at most.
 VOCABULARY, MU, HOT = 50_000, 2.0, 1 << 19
 #: Distinct words and bigrams that a task holds before it sends their counts, and words of the corpus for each shard.
-HELD_WORDS, HELD_BIGRAMS, TOKENS_A_SHARD = 300_000, 1 << 21, 1 << 20
+HELD_WORDS, HELD_BIGRAMS, TOKENS_A_SHARD = 300_000, 1 << 20, 1 << 20
 #: log2 of the numbers of a block of documents, whose sums are one row.
 DOC_BITS = 10
 _ODD = 0x9E3779B97F4A7C15
