@@ -16,7 +16,8 @@ A word that fails where there is no link is one unknown piece.
 Words are those of the package (runs without ASCII white space), each opened by
 a space where the vocabulary writes words so.  Counts of frequent words are kept
 by the process, up to a bound.  Null and empty texts have no words and no
-pieces; repeated rows are counted each by itself; null ids stay null.  Other
+pieces; texts are read in pieces of some MB, a longer one by itself; repeated rows are
+counted each by itself; null ids stay null; an empty table gives no rows.  Other
 columns are ignored.
 """
 
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import small_batches
 from sluice.llm.tokens import default_vocabulary
 
 #: Words whose counts a process keeps, and the longest of them in bytes.
@@ -125,7 +127,7 @@ def count_tokens(docs: DataFrame, *, vocabulary: str | None = None) -> DataFrame
 
     def run(batches):
         count = automaton(vocabulary).__getitem__
-        for batch in batches:
+        for batch in small_batches(batches):
             words, tokens = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = (text or b"").split()
