@@ -20,7 +20,7 @@ holds one group's tails at most, and a lost task is simply run again.
 
 Null text counts as empty (its end id alone is packed), null ids stay null,
 repeated rows are packed each by itself, and an empty table gives no rows.
-Other columns of the input are ignored.
+Texts are encoded in pieces of some MB, a longer one by itself.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import small_batches
 from sluice.llm.tokens import default_vocabulary, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -240,7 +241,7 @@ def pack(docs: DataFrame, *, window: int = 1024, end_id: int = 0, vocabulary: st
             rows.clear()
             return batch
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = enc.encode(text) + end
                 total = len(ids) // width
