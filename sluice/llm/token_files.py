@@ -20,8 +20,9 @@ one document.  The manifest, a row per file, is a table; the driver sees one row
 per partition.
 
 Null text is empty (its end id remains); rows with a null id come first;
-repeated ids are ordered by text; an empty table writes no file.  Other columns
-of the input are ignored.
+repeated ids are ordered by text; an empty table writes no file.  Texts are
+encoded in pieces of some MB, a longer one by itself; a document's ids are in one file.
+Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable, qualified, scratch_path
+from sluice.llm.common import durable, qualified, scratch_path, small_batches
 from sluice.llm.tokens import default_vocabulary, encoder
 
 HEAD = struct.Struct("<4sIIQQ")
@@ -173,7 +174,7 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 0, vocabulary
             held.clear()
 
         size = 0
-        for batch in batches:
+        for batch in small_batches(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = enc.encode(text) + end
                 if held and size + len(ids) > file_ids * enc.dtype.itemsize:
