@@ -8,8 +8,9 @@ policy keeps and how many it would keep without each of its rules.
 
 Repeated windows of three words are found within a row: each window's hash is
 joined with its position in one integer, the integers are sorted, and
-neighbours with the same hash are compared word by word.  That takes n log n
-steps for n words, and no row leaves its task.
+neighbours with the same hash are compared word by word.  Where two of them differ,
+the text's windows of shared hashes are sorted by their words instead.  That takes
+n log n steps for n words, and no row leaves its task.
 
 Null and empty texts have no words; a long text is one row's arrays, some ten
 times its size; repeated rows are judged each by itself; null ids stay null; an
@@ -79,14 +80,25 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     place = lambda k: k.bitwiseAND(low).cast("int")
     high = lambda k: F.call_function("shiftright", k, bits)
 
-    def same(x: Column, y: Column) -> Column:
-        alike = high(x) == high(y)
-        for i in range(3):
-            alike = alike & (F.get(w, place(x) + i) == F.get(w, place(y) + i))
-        return F.coalesce(alike, F.lit(False))
+    def alike(x: Column, y: Column) -> Column:
+        return F.coalesce(high(x) == high(y), F.lit(False))
 
-    found = F.filter(keys, lambda k, j: same(k, F.get(keys, j + 1)) | same(k, F.get(keys, j - 1)))
-    df = df.withColumn("_sl_found", F.sort_array(F.transform(found, place)))
+    df = df.withColumn("_sl_near", F.filter(keys, lambda k, j: alike(k, F.get(keys, j + 1)) | alike(k, F.get(keys, j - 1))))
+    near = F.col("_sl_near")
+    three = lambda k: [F.get(w, place(k) + i) for i in range(3)]
+
+    def clash(x: Column, y: Column) -> Column:
+        return alike(x, y) & (F.array(*three(x)) != F.array(*three(y)))
+
+    def repeated(runs: Column) -> Column:
+        at = lambda r, j: F.coalesce(r["w"] == F.get(runs, j)["w"], F.lit(False))
+        return F.transform(F.filter(runs, lambda r, j: at(r, j + 1) | at(r, j - 1)), lambda r: r["p"])
+
+    df = df.withColumn("_sl_clash", F.size(F.filter(near, lambda k, j: clash(k, F.get(near, j + 1)))) > 0)
+    # only where different windows have one hash, by the words themselves
+    runs = F.sort_array(F.transform(near, lambda k: F.struct(F.array(*three(k)).alias("w"), place(k).alias("p"))))
+    df = df.withColumn("_sl_runs", F.when(F.col("_sl_clash"), runs))
+    df = df.withColumn("_sl_found", F.sort_array(F.when(F.col("_sl_clash"), repeated(F.col("_sl_runs"))).otherwise(F.transform(near, place))))
     start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     # always 0; a filter isn't pushed below what isn't deterministic, where it would be evaluated again for each word
     guard = F.shiftright(F.monotonically_increasing_id(), 63)
@@ -146,7 +158,7 @@ def keep(docs: DataFrame, policy: str = "web-2") -> DataFrame:
     return measure(own).withColumn("_sl_failed", failures()).where(passes(policy, "_sl_failed")).select("_sl_row.*")
 
 
-ORACLE_SQL = r"""
+MEASURED_SQL = r"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM base),
 p AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
@@ -161,6 +173,9 @@ m AS (SELECT b.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words,
   CAST(coalesce(dl.n_lines, 0) AS BIGINT) AS n_lines,
   CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM base b JOIN w USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN dl USING (rid))
+"""
+
+ORACLE_SQL = MEASURED_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
@@ -168,3 +183,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)) AS kept
 FROM m
 """
+
+ABLATIONS_SQL = MEASURED_SQL + f"""
+SELECT policy, without, CAST(count(*) FILTER (failed & mask = 0) AS BIGINT) AS kept
+FROM (SELECT {" + ".join(f"CASE WHEN {rule} THEN {BITS[name]} ELSE 0 END" for name, rule in RULES.items())} AS failed FROM m),
+  (VALUES {", ".join(str((p, rule or "", sum(BITS[r] for r in rules if r != rule))) for p, rules in POLICIES.items() for rule in (None, *rules))}) cases(policy, without, mask)
+GROUP BY policy, without
+"""

@@ -40,6 +40,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & F.col("kept")).alias("kept"))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy keeps, whole (``without`` is empty) and without each of its rules."""
+    kept = quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+    return kept.withColumn("without", F.coalesce("without", F.lit("")))
+
+
 def op7_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_simhash,
         op10_token_files,
+        rule_ablations,
     )
 }
 
@@ -80,5 +87,6 @@ ORACLES: dict[str, str] = {
     "op4_chat_trees": chat_tree.ORACLE_SQL,
     "op5_source_mixing": mixing.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
+    "rule_ablations": quality.ABLATIONS_SQL,
     "op7_voronoi_knn": knn.ORACLE_SQL,
 }

@@ -104,6 +104,19 @@ def test_targets():
     assert mixing.targets({"a": 0}, {"a": 3}, 0.0, 2.0) == {"a": 0}
 
 
+def test_repeats_of_one_hash(spark, monkeypatch):
+    """Different windows with one hash, between each other in the text, hide no repeat."""
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.length(c[0]).cast("long"))
+    dice = random.Random(4)
+    texts = [" ".join(dice.choice(["a", "b", "cc", "dd", "eee"]) for _ in range(n)) for n in (0, 2, 3, 9, 40, 300) for _ in range(5)] + [None]
+    got = quality.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        found = (texts[r.doc_id] or "").split()
+        windows = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
+        count = Counter(windows)
+        assert r.n_repeat_words == len({i + k for i, x in enumerate(windows) if count[x] > 1 for k in range(3)})
+
+
 def test_quality_ablations(docs):
     ledger = quality.ledger(docs)
     got = {(r.policy, r["without"]): r.kept for r in quality.ablations(ledger).collect()}
