@@ -24,14 +24,35 @@ def _bit(row_id: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), row_id.bitwiseAND(63).cast("int"))
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def word_index(ctx: QueryContext, *names: str) -> DataFrame:
+    """word_key and a column of words for each filter, named like it: one pass, one row shuffled for each word.
+
+    Persisted or written, it answers any circuit over these filters word by word without a shuffle.
+    """
+    bit = _bit(ctx.row_id)
+    words = (F.coalesce(F.bit_or(F.when(ctx.filter(n), bit)), F.lit(0).cast("long")).alias(n) for n in names)
+    return ctx.df.where(ctx.row_id.isNotNull()).groupBy(F.shiftright(ctx.row_id, WORD_BITS).alias("word_key")).agg(*words)
+
+
+def indexed_words(index: DataFrame, circuit: Circuit, *names: str) -> DataFrame:
+    """word_key, word of a circuit over an index; only words with a row."""
+    if not names:
+        raise ValueError("a circuit needs a named filter")
+    term = circuit(Slice(names))
+    word = F.lit(0).cast("long") if term is None else term.words({n: _quoted(n) for n in names})
+    return index.select("word_key", word.alias("word")).where("word <> 0")
+
+
 def filter_words(ctx: QueryContext, *names: str) -> DataFrame:
     """name, word_key, word for each filter and word with a row: one pass over the table."""
     if len(names) <= FEW:
-        # a row shuffled for each word, whatever the number of filters
-        bit = _bit(ctx.row_id)
-        wide = ctx.df.groupBy(F.shiftright(ctx.row_id, WORD_BITS).alias("word_key")).agg(*(F.bit_or(F.when(ctx.filter(n), bit)).alias(f"_{i}") for i, n in enumerate(names)))
-        found = wide.select("word_key", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"_{i}").alias("word")) for i, n in enumerate(names)))).alias("w"))
-        return found.select("w.name", "word_key", "w.word").where("word is not null")
+        pairs = F.array(*(F.struct(F.lit(n).alias("name"), _quoted(n).alias("word")) for n in names))
+        found = word_index(ctx, *names).select("word_key", F.explode(pairs).alias("w"))
+        return found.select("w.name", "word_key", "w.word").where("word <> 0")
     held = F.filter(F.array(*(F.when(ctx.filter(n), F.lit(n)) for n in names)), lambda n: n.isNotNull())
     rows = ctx.df.select(ctx.row_id.alias(ROW_ID), F.explode(held).alias("name"))
     return rows.groupBy("name", F.shiftright(ROW_ID, WORD_BITS).alias("word_key")).agg(F.bit_or(_bit(F.col(ROW_ID))).alias("word"))

@@ -139,7 +139,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("nary_or_bitmaps", ORACLES["nary_or"])
 def _(spark: SparkSession, sf: str) -> DataFrame:
     ctx = PARTS.over(read_table(spark, sf, "part"))
-    return bitmaps.cardinality(bitmaps.circuit_words(bitmaps.filter_words(ctx, *BRANDS), union_of, *BRANDS)).withColumnRenamed("rows", "n")
+    return bitmaps.cardinality(bitmaps.indexed_words(bitmaps.word_index(ctx, *BRANDS), union_of, *BRANDS)).withColumnRenamed("rows", "n")
 
 
 @query("three_way_circuit", f"SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE ({E} AND {S}) <> {U}")
@@ -419,7 +419,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship over an index: a circuit on words, then a reduction of the rows that it selects."""
     ctx = orders(spark, sf)
-    words = bitmaps.circuit_words(bitmaps.filter_words(ctx, "dear", "filled"), lambda s: s["dear"] & s["filled"], "dear", "filled")
+    words = bitmaps.indexed_words(bitmaps.word_index(ctx, "dear", "filled"), lambda s: s["dear"] & s["filled"], "dear", "filled")
     return _rounded(bitmaps.selected(ctx, words).reduce(total=reducers.sum_product("price", "price"), n=reducers.count()), total=0)
 
 

@@ -298,3 +298,17 @@ def test_persisted_contexts(many):
     ctx, _ = many
     kept = ctx.persist()
     assert found(evaluate(kept, lambda s: s["a"] ^ s["b"], "a", "b")) == found(evaluate(ctx, lambda s: s["a"] ^ s["b"], "a", "b"))
+
+
+def test_word_index(spark):
+    """A stored index answers circuits as the row form does, without a shuffle, null and negative ids among the rows."""
+    rows = spark.createDataFrame([(i if i % 11 else None, i % 3 == 0, None if i % 7 == 0 else i % 5 == 0) for i in range(-300, 700)], "id long, x boolean, y boolean")
+    ctx = DatasetSpec().filter("a`b", "x").filter("c.d", "y").metric("one", "1.0").row_id("id").over(rows)
+    index = bitmaps.word_index(ctx, "a`b", "c.d")
+    for circuit, rule in ((lambda s: s["a`b"] & s["c.d"], "x and y"), (lambda s: s["a`b"] ^ s["c.d"], "x <> coalesce(y, false)"), (lambda s: s["a`b"] - s["c.d"], "x and not coalesce(y, false)")):
+        words = bitmaps.indexed_words(index, circuit, "a`b", "c.d")
+        expected = {r.id for r in rows.where("id is not null").where(rule).collect()}
+        assert {r.row_id for r in bitmaps.rows_of_words(words).collect()} == expected
+        long = bitmaps.circuit_words(bitmaps.filter_words(ctx, "a`b", "c.d"), circuit, "a`b", "c.d")
+        assert {tuple(r) for r in long.collect()} == {tuple(r) for r in words.collect()}
+    assert words._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
