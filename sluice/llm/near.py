@@ -1,12 +1,18 @@
-"""Near-duplicates: five-word shingles, similarity 0.8 or more, found by MinHash.
+"""Near-duplicates: five-word shingles, similarity 0.8 or more, found by SimHash.
 
-*Candidates.*  A document has ``BANDS`` hashes, each of ``ROWS`` MinHashes of its set of
-five-word shingles.  Two documents are candidates if they share one, which at similarity
-s has the probability 1 - (1 - s**ROWS)**BANDS whatever the edit: 0.9998 at 0.8.
+*Fingerprints.*  A document has ``PRINTS`` SimHash fingerprints of 64 bits over its set of
+five-word shingles, each of hashes of its own: a bit is set if it is in over half of them.
 
-*Groups.*  Each document that shares a hash is linked to the least document that has it;
-the components of these links hold all candidates together.  They decide only which
-documents meet.
+*Candidates.*  Each fingerprint is searched as in :mod:`sluice.llm.pigeonhole`: its bits are put
+into ``PARTS`` groups by correlation, every fingerprint has thresholds of its own by dynamic
+programming, and probes meet the entries of a value.  Two documents are candidates if such a probe
+finds one of the two, and they differ in at most ``FAR`` bits over this fingerprint and the next.
+So no pair within ``K`` bits of any fingerprint and ``FAR`` of the two is lost.  Of two documents
+of similarity 0.8 a bit differs with the probability 0.15, and a group of 13 is equal with 0.12:
+one of all 80 groups is with 1 - 3e-5, by calculation.
+
+*Groups.*  A task returns a spanning forest of its candidates; the components of these links
+hold all candidates together.  They decide only which documents meet.
 
 *Verification.*  The documents of a component meet with their sets of shingles, and the exact
 Jaccard similarity of each two that aren't linked yet, candidates or not, is looked at.  A link
@@ -25,22 +31,28 @@ empty table gives no rows.  Other columns are kept as they are.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import pigeonhole
 from sluice.llm.common import durable, hash_words, mix64, split_words, text_chunks, whole_keys
 from sluice.llm.components import components
 
-#: Words of a shingle, least similarity, MinHashes of a band, and bands.
-SHINGLE, SIMILAR, ROWS, BANDS = 5, 0.8, 7, 36
+#: Words of a shingle, least similarity, fingerprints of a document, and groups of a fingerprint's bits.
+SHINGLE, SIMILAR, PRINTS, PARTS = 5, 0.8, 16, 5
+#: Bits of a fingerprint within which the search is exact, and bits in which candidates differ at most in two fingerprints.
+K, FAR = PARTS - 1, 30
 #: Shingles hashed at a time, shingles of a piece of a component, and ids up to which they are broadcast.
-BLOCK, PIECE, FEW_IDS = 1024, 1 << 18, 1 << 18
+BLOCK, PIECE, FEW_IDS = 1020, 1 << 18, 1 << 18
+#: Documents counted by a task, entries of a share, rows compared at once, and documents that a crowded value is compared with first.
+COUNTED, SHARE, SIDE, HUBS = 1 << 16, 1 << 18, 1024, 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-_FACTORS = np.random.default_rng(11).integers(0, 1 << 31, (ROWS * BANDS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_BAND_ODD = mix64(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[0])
+_PRINT_ODD = mix64(np.arange(1, PRINTS + 1, dtype=np.uint64) * _ODD[0])
 
 
 def _lower(buf: np.ndarray) -> np.ndarray:
@@ -69,18 +81,15 @@ def grams(words: np.ndarray) -> np.ndarray:
     return np.unique(total)
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """A hash of each band's number and MinHashes; nothing for a document without words."""
-    if not len(shingles):
-        return shingles
-    short = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for lo in range(0, len(short), BLOCK):
-        np.minimum(least, (short[None, lo : lo + BLOCK] * _FACTORS).min(axis=1), out=least)
-    out = _BAND_ODD.copy()
-    for row in least.reshape(ROWS, BANDS).astype(np.uint64):
-        out = mix64(out * _ODD[1] + row)
-    return out
+def fingerprints(shingles: np.ndarray) -> np.ndarray:
+    """The fingerprints: bits set in over half of the shingles' hashes."""
+    votes = np.zeros(64 * PRINTS, dtype=np.int64)
+    for lo in range(0, len(shingles), BLOCK):
+        hashes = mix64(shingles[lo : lo + BLOCK, None] ^ _PRINT_ODD)
+        bits = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")
+        for at in range(0, len(bits), 255):
+            votes += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(shingles), bitorder="little").view("<u8")
 
 
 def _same(words: np.ndarray) -> int:
@@ -88,7 +97,7 @@ def _same(words: np.ndarray) -> int:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of all words), the number of shingles and the bands, 8 bytes each."""
+    """doc_id, node (a hash of all words), the number of shingles and the fingerprints, 8 bytes each."""
 
     def run(batches):
         for batch in batches:
@@ -97,30 +106,152 @@ def prints(docs: DataFrame) -> DataFrame:
                 shingles = grams(words)
                 node.append(_same(words))
                 n.append(len(shingles))
-                found.append(bands(shingles).astype("<u8").tobytes())
+                found.append(fingerprints(shingles).tobytes())
             nodes = pa.array(np.array(node, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(n, type=pa.int64()), pa.array(found, type=pa.binary())], names=["doc_id", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(n, type=pa.int64()), pa.array(found, type=pa.binary())], names=["doc_id", "node", "n", "prints"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, node long, n long, prints binary")
+
+
+def _signatures(blobs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), dtype="<u8").reshape(-1, PRINTS)
+
+
+def _totals(nodes: DataFrame, tasks: int, cells: int, count) -> np.ndarray:
+    """For each fingerprint, ``cells`` sums over all nodes of what ``count(number, fingerprints)`` finds."""
+
+    def batch_of(sums: dict[int, np.ndarray]):
+        blobs = pa.array([x.tobytes() for x in sums.values()], type=pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.int32()), blobs], names=["print", "sums"])
+
+    def some(batches):
+        sums = {s: np.zeros(cells, dtype=np.int64) for s in range(PRINTS)}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 8192):
+                own = _signatures(batch.column(0).slice(lo, 8192))
+                for s in sums:
+                    sums[s] += count(s, np.ascontiguousarray(own[:, s]))
+        yield batch_of(sums)
+
+    def all_of(batches):
+        sums = {}
+        for batch in batches:
+            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[s] = sums.get(s, 0) + np.frombuffer(blob, dtype=np.int64)
+        yield batch_of(sums)
+
+    schema = "print int, sums binary"
+    out = np.zeros((PRINTS, cells), dtype=np.int64)
+    for r in nodes.select("prints").coalesce(tasks).mapInArrow(some, schema).repartition("print").mapInArrow(all_of, schema).collect():
+        out[r.print] = np.frombuffer(r.sums, dtype=np.int64)
+    return out
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, node long, n long, bands binary")
+def _joint(s: int, fps: np.ndarray) -> np.ndarray:
+    bits = pigeonhole._bits(fps).astype(np.float32)
+    return np.rint(bits.T @ bits).astype(np.int64).ravel()
 
 
-def _spread(batches):
-    """(band, node) of each band of the nodes."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            nodes, found = (batch.column(i).slice(lo, 4096) for i in (0, 1))
-            blobs = found.to_pylist()
-            each = np.array([len(x) // 8 for x in blobs], dtype=np.int64)
-            band = np.frombuffer(b"".join(blobs), dtype="<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.repeat(nodes.to_numpy(zero_copy_only=False), each))], names=["band", "node"])
+def _filed(grouped: list[list[list[int]]], bits: int):
+    def count(s, fps):
+        cells = [pigeonhole._cell(p, pigeonhole.values(fps, part), len(part), bits) for p, part in enumerate(grouped[s])]
+        return np.concatenate([np.bincount(c, minlength=1 << bits) for c in cells])
+
+    return count
+
+
+def _deal(grouped: list[list[list[int]]], counts, bits: int):
+    """Entries and probes of each fingerprint; the node and the next fingerprint travel along."""
+
+    def run(batches):
+        runs = [pigeonhole._deal(parts, SimpleNamespace(value=counts.value[s]), K, bits, s * PARTS, SHARE) for s, parts in enumerate(grouped)]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                own, node = _signatures(batch.column(0).slice(lo, 4096)).view(np.int64), batch.column(1).slice(lo, 4096)
+                for s, deal in enumerate(runs):
+                    fp, check = (pa.array(own[:, i % PRINTS].copy()) for i in (s, s + 1))
+                    yield from deal([pa.RecordBatch.from_arrays([fp, node, check], names=list(pigeonhole.NAMES))])
+
+    return run
+
+
+def forest(probes: np.ndarray, entries: np.ndarray) -> list[tuple[int, int]]:
+    """Links of candidates, as few as hold each group together; the rows of both are fingerprints, nodes and checks."""
+
+    def close(q, d):
+        far = np.bitwise_count(q[0][:, None] ^ d[0]) + np.bitwise_count(q[2][:, None] ^ d[2])
+        return (far <= FAR) & (q[1][:, None] != d[1])
+
+    crowded = probes.shape[1] * entries.shape[1] > SIDE * SIDE
+    if not crowded and not close(probes, entries).any():
+        return []
+    nodes, place = np.unique(np.concatenate([probes[1], entries[1]]), return_inverse=True)
+    label, out = np.arange(len(nodes)), []
+    q_at, d_at = place[: probes.shape[1]], place[probes.shape[1] :]
+
+    def link(one: int, others: np.ndarray) -> None:
+        groups, first = np.unique(label[others], return_index=True)
+        new = groups != label[one]
+        if new.any():
+            out.extend((int(nodes[one]), int(nodes[x])) for x in others[first[new]])
+            label[np.isin(label, groups[new])] = label[one]
+
+    if crowded:
+        # many near copies of one text are one class after a few rows, and one class isn't compared any more
+        seen = np.zeros(len(nodes), dtype=bool)
+        for _ in range(HUBS):
+            left = np.flatnonzero(~seen[d_at])
+            if not len(left):
+                break
+            hub = int(left[0])
+            linked = q_at[close(probes, entries[:, hub : hub + 1])[:, 0]]
+            link(int(d_at[hub]), linked)
+            seen[linked] = seen[d_at[hub]] = True
+        order, other = np.argsort(label[q_at], kind="stable"), np.argsort(label[d_at], kind="stable")
+        probes, q_at, entries, d_at = probes[:, order], q_at[order], entries[:, other], d_at[other]
+    for lo in range(0, len(q_at), SIDE):
+        for start in range(0, len(d_at), SIDE):
+            own, cells = q_at[lo : lo + SIDE], d_at[start : start + SIDE]
+            if (label[own] == label[cells[0]]).all() and (label[cells] == label[cells[0]]).all():
+                continue
+            near = close(probes[:, lo : lo + SIDE], entries[:, start : start + SIDE]) & (label[own][:, None] != label[cells])
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                link(int(own[i]), cells[near[i]])
+    return out
+
+
+def _probe(batches):
+    for batch in whole_keys(batches):
+        deal, part, value, probes, *own = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        # the entries of a value, then its probes, each by node
+        order = np.lexsort((own[1], probes, value, part, deal))
+        deal, part, value, probes = (x[order] for x in (deal, part, value, probes))
+        rows = np.stack([x[order] for x in own]).view(np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], (deal[1:] != deal[:-1]) | (part[1:] != part[:-1]) | (value[1:] != value[:-1])]))
+        stop = np.concatenate([first[1:], [len(deal)]])
+        asking = np.add.reduceat(probes.astype(np.int64), first)
+        out = []
+        for a, b, n in zip(first.tolist(), stop.tolist(), asking.tolist(), strict=True):
+            if n and b - a - n and not (b - a == 2 and rows[1, a] == rows[1, a + 1]):
+                out += forest(rows[:, b - n : b], rows[:, a : b - n])
+        if out:
+            links = np.array(out, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) from each node to the least that shares a band with it."""
-    rows = nodes.select("node", "bands").mapInArrow(_spread, "band long, node long")
-    # only a band that several nodes have is looked at again; both sides are aggregated before they are shuffled
-    least = rows.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("_sl_band"), "b")
-    return rows.join(least, F.col("band") == F.col("_sl_band")).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    """Links (a, b) that join all candidates among the nodes that have shingles."""
+    nodes = nodes.where("n > 0").select("prints", "node")
+    n = nodes.count()
+    tasks = max(1, -(-n // COUNTED))
+    joint = _totals(nodes, tasks, 64 * 64, _joint).reshape(PRINTS, 64, 64)
+    grouped = [pigeonhole.group_bits(n, own, PARTS) for own in joint]
+    bits = max(len(part) for parts in grouped for part in parts)
+    filed = _totals(nodes, tasks, PARTS << bits, _filed(grouped, bits)).reshape(PRINTS, PARTS, -1)
+    counts = nodes.sparkSession.sparkContext.broadcast(np.minimum(filed, 1 << 30).astype(np.int32))
+    dealt = nodes.mapInArrow(_deal(grouped, counts, bits), "deal long, part int, value long, probes boolean, fp long, node long, check long")
+    found = dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_probe, "a long, b long")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _with_grams(rows: DataFrame) -> DataFrame:
@@ -239,7 +370,7 @@ def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, component_id of every row with an id; a class is named by its smallest document."""
     found = durable(prints(docs).where("doc_id is not null"))
-    nodes = durable(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = durable(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prints").alias("prints")))
     links = durable(candidates(nodes))
     roots = components(verified(docs, nodes, links))
     placed = nodes.select("node", "least").join(roots, "node", "left").select(F.col("node").alias("_sl_node"), "least", F.coalesce("root", "node").alias("root"))

@@ -129,3 +129,67 @@ def test_pieces_of_a_class_do_not_meet(spark, monkeypatch):
     assert all(any({i, j} <= d for d in deals.values()) for i in range(63) for j in range(60, 63) if i != j)
     alone = near._between(members.where("node < 60"), linked)
     assert alone.count() == 0
+
+
+def test_fingerprints():
+    """Each bit is a vote of the shingles' hashes, in long documents too."""
+    for n in (1, 4, 255, 256, 3000):
+        own = shingles([f"w{i}" for i in range(n + 4)])
+        assert len(own) == n
+        got = near.fingerprints(own)
+        for s in range(near.PRINTS):
+            hashes = near.mix64(own ^ near._PRINT_ODD[s]).tolist()
+            assert int(got[s]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
+
+
+def flipped(rng, fp, n):
+    for b in rng.sample(range(64), n):
+        fp ^= 1 << b
+    return fp
+
+
+def test_search_by_fingerprints(spark):
+    """Documents near in any one fingerprint, and in the next one, are candidates; those far in the next one aren't."""
+    rng = random.Random(3)
+    rows, want, far = [], set(), set()
+    for i in range(160):
+        own = [rng.getrandbits(64) for _ in range(near.PRINTS)]
+        other = [rng.getrandbits(64) for _ in range(near.PRINTS)]
+        s, apart = i % near.PRINTS, i >= 128
+        other[s] = flipped(rng, own[s], near.K)
+        after = (s + 1) % near.PRINTS
+        other[after] = flipped(rng, own[after], 40 if apart else near.FAR - near.K)
+        (far if apart else want).add((2 * i + 1, 2 * i))
+        rows += [(2 * i + j, 9, np.array(x, dtype="<u8").tobytes()) for j, x in enumerate((own, other))]
+    got = {(r.a, r.b) for r in near.candidates(spark.createDataFrame(rows, "node long, n long, prints binary")).collect()}
+    assert got >= want and not got & far
+
+
+def test_crowded_values():
+    """Rows of a value in several blocks: a large class, a small one and single rows."""
+    rng = random.Random(6)
+    texts = [[rng.getrandbits(64) for _ in range(2)] for _ in range(40)]
+    group = [0] * 1500 + [1] * 900 + list(range(2, 40))
+    rng.shuffle(group)
+    rows = np.array([[flipped(rng, texts[g][0], 2), k, flipped(rng, texts[g][1], 5)] for k, g in enumerate(group)], dtype=np.uint64).T
+    links = near.forest(rows, rows)
+    assert all(group[a] == group[b] for a, b in links)
+    root = list(range(len(group)))
+    for a, b in links:
+        old, new = root[a], root[b]
+        assert old != new
+        root = [new if x == old else x for x in root]
+    assert len(set(root)) == 40
+
+
+def test_stage_searches_fingerprints(spark, monkeypatch):
+    """The pipeline's stage groups the bits of each fingerprint and probes them."""
+    import corpus_pipeline
+
+    asked, group_bits = [], near.pigeonhole.group_bits
+    monkeypatch.setattr(near.pigeonhole, "group_bits", lambda *given: asked.append(given[2]) or group_bits(*given))
+    base = [f"w{i}" for i in range(300)]
+    docs = [base, base[:290], [f"v{i}" for i in range(300)]]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == {0, 2}
+    assert asked == [near.PARTS] * near.PRINTS
