@@ -12,7 +12,9 @@ of similarity 0.8 a bit differs with the probability 0.15, and a group of 13 is
 one of all 80 groups is with 1 - 3e-5, by calculation.
 
 *Groups.*  A task returns a spanning forest of its candidates; the components of these links
-hold all candidates together.  They decide only which documents meet.
+hold all candidates together.  They decide only which documents meet.  The first ``FIRST``
+fingerprints are searched by themselves, and what they join is one node in the search of the
+others, so that a large group of near copies isn't linked again by each of the 80 groups of bits.
 
 *Verification.*  The documents of a component meet with their sets of shingles, and the exact
 Jaccard similarity of each two that aren't linked yet, candidates or not, is looked at.  A link
@@ -45,6 +47,8 @@ from sluice.llm.components import components
 
 #: Words of a shingle, least similarity, fingerprints of a document, and groups of a fingerprint's bits.
 SHINGLE, SIMILAR, PRINTS, PARTS = 5, 0.8, 16, 5
+#: Fingerprints searched before the others, and links that one task joins.
+FIRST, FEW_LINKS = 2, 1 << 18
 #: Bits of a fingerprint within which the search is exact, and bits in which candidates differ at most in two fingerprints.
 K, FAR = PARTS - 1, 30
 #: Shingles hashed at a time, shingles of a piece of a component, and ids up to which they are broadcast.
@@ -160,15 +164,15 @@ def _filed(grouped: list[list[list[int]]], bits: int):
     return count
 
 
-def _deal(grouped: list[list[list[int]]], counts, bits: int):
-    """Entries and probes of each fingerprint; the node and the next fingerprint travel along."""
+def _deal(grouped: list[list[list[int]]], counts, bits: int, searched: range):
+    """Entries and probes of the fingerprints ``searched``; the node and the next fingerprint travel along."""
 
     def run(batches):
-        runs = [pigeonhole._deal(parts, SimpleNamespace(value=counts.value[s]), K, bits, s * PARTS, SHARE) for s, parts in enumerate(grouped)]
+        runs = [(s, pigeonhole._deal(grouped[s], SimpleNamespace(value=counts.value[s]), K, bits, s * PARTS, SHARE)) for s in searched]
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 own, node = _signatures(batch.column(0).slice(lo, 4096)).view(np.int64), batch.column(1).slice(lo, 4096)
-                for s, deal in enumerate(runs):
+                for s, deal in runs:
                     fp, check = (pa.array(own[:, i % PRINTS].copy()) for i in (s, s + 1))
                     yield from deal([pa.RecordBatch.from_arrays([fp, node, check], names=list(pigeonhole.NAMES))])
 
@@ -232,7 +236,8 @@ def _probe(batches):
         asking = np.add.reduceat(probes.astype(np.int64), first)
         out = []
         for a, b, n in zip(first.tolist(), stop.tolist(), asking.tolist(), strict=True):
-            if n and b - a - n and not (b - a == 2 and rows[1, a] == rows[1, a + 1]):
+            # both sides are in order, so their ends tell whether all are one node
+            if n and b - a - n and not (rows[1, a] == rows[1, b - n - 1] == rows[1, b - n] == rows[1, b - 1]):
                 out += forest(rows[:, b - n : b], rows[:, a : b - n])
         if out:
             links = np.array(out, dtype=np.uint64).view(np.int64)
@@ -249,9 +254,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
     bits = max(len(part) for parts in grouped for part in parts)
     filed = _totals(nodes, tasks, PARTS << bits, _filed(grouped, bits)).reshape(PRINTS, PARTS, -1)
     counts = nodes.sparkSession.sparkContext.broadcast(np.minimum(filed, 1 << 30).astype(np.int32))
-    dealt = nodes.mapInArrow(_deal(grouped, counts, bits), "deal long, part int, value long, probes boolean, fp long, node long, check long")
-    found = dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_probe, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def found(rows: DataFrame, searched: range) -> DataFrame:
+        dealt = rows.mapInArrow(_deal(grouped, counts, bits, searched), "deal long, part int, value long, probes boolean, fp long, node long, check long")
+        links = dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_probe, "a long, b long")
+        return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    first = durable(found(nodes, range(FIRST)))
+    roots = components(first, FEW_LINKS)
+    placed = durable(nodes.join(roots, "node", "left").select("prints", F.coalesce("root", "node").alias("node")))
+    return first.union(found(placed, range(FIRST, PRINTS)))
 
 
 def _with_grams(rows: DataFrame) -> DataFrame:
@@ -325,7 +337,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _between(members: DataFrame, linked: DataFrame) -> DataFrame:
     """node, _sl_id, deal: the meetings of the classes that ``linked`` makes in the components (node, _sl_id, root, n)."""
-    labels = components(linked.join(members.select(F.col("node").alias("a")), "a", "left_semi")).withColumnRenamed("root", "label")
+    labels = components(linked.join(members.select(F.col("node").alias("a")), "a", "left_semi"), FEW_LINKS).withColumnRenamed("root", "label")
     members = durable(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     sizes = durable(members.groupBy("root", "label").agg(F.sum("n").alias("n")))
     large = sizes.where(F.col("n") > PIECE).select("root", "label", F.lit(False).alias("pool"), F.ceil(F.col("n") / PIECE).alias("pieces"))
@@ -344,7 +356,7 @@ def _between(members: DataFrame, linked: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Links of a similarity of ``SIMILAR`` or more that join all such pairs within each component of ``links``."""
-    roots = components(links)
+    roots = components(links, FEW_LINKS)
     placed = roots.union(roots.select("root", "root").distinct())
     placed = durable(nodes.join(placed, "node").select("node", F.col("least").alias("_sl_id"), "root", "n"))
     # most components are one piece, so few have to be told of their pieces
@@ -372,7 +384,7 @@ def classes(docs: DataFrame) -> DataFrame:
     found = durable(prints(docs).where("doc_id is not null"))
     nodes = durable(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prints").alias("prints")))
     links = durable(candidates(nodes))
-    roots = components(verified(docs, nodes, links))
+    roots = components(verified(docs, nodes, links), FEW_LINKS)
     placed = nodes.select("node", "least").join(roots, "node", "left").select(F.col("node").alias("_sl_node"), "least", F.coalesce("root", "node").alias("root"))
     placed = durable(placed)
     # made before it is joined, so that the adaptive join can split a class of very many documents

@@ -193,3 +193,29 @@ def test_stage_searches_fingerprints(spark, monkeypatch):
     frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == {0, 2}
     assert asked == [near.PARTS] * near.PRINTS
+
+
+def test_near_copies_are_not_linked_by_every_group(spark):
+    """A group of near copies brings links in proportion to the groups of the first fingerprints, not of all."""
+    docs = revisions(150)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    links = near.candidates(near.durable(near.prints(frame))).collect()
+    linked = {x for r in links for x in (r.a, r.b)}
+    assert len(linked) > 140
+    assert len(links) <= 16 * len(docs)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_links_joined_by_one_task_or_in_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(near, "FEW_LINKS", few)
+    rng = random.Random(few)
+    # chains, so that a least id has far to go, and single links
+    links = [(i, i + 1) for i in range(0, 60)] + [(2 * i + 101, 2 * i + 100) for i in range(30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(links, "a long, b long")
+    got = sorted(tuple(r) for r in near.components(frame, near.FEW_LINKS).select("node", "root").collect())
+    assert got == sorted((x, r) for x, r in root.items() if x != r)
+    assert near.components(frame.where("a < 0"), near.FEW_LINKS).count() == 0
