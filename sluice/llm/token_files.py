@@ -174,9 +174,9 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 0, vocabulary
             held.clear()
 
         size = 0
-        for batch in small_batches(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+        for batch in small_batches(batches, rows=1 << 14, size=8 << 20):
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 if held and size + len(ids) > file_ids * enc.dtype.itemsize:
                     flush()
                     size = 0

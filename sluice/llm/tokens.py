@@ -3,22 +3,33 @@
 A byte-level BPE never merges across the start of a pre-token.  A space before
 a non-space always starts one, and a line feed between two non-spaces is one by
 itself.  So a text may be cut there and its parts encoded by themselves;
-frequent parts are then looked up instead of encoded again.  Texts that hold an
-added token's string are encoded whole, since the library cuts these out
-before anything else.
+frequent parts are then looked up instead of encoded again, and of many texts
+together each different part once.  Texts that hold an added token's string are
+encoded whole, since the library cuts these out before anything else.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from array import array
+from codecs import charmap_decode
+from itertools import islice
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Parts kept per process, and the longest that is kept; both bound memory only.
-CACHED_PARTS, CACHED_CHARS = 600_000, 32
+#: Parts kept per process, how many of the first stay when there are more, and the longest that is kept; they bound memory only.
+CACHED_PARTS, FIRST_PARTS, CACHED_CHARS = 600_000, 250_000, 32
+
+#: Parts put in order at a time.
+BLOCK = 1 << 18
+#: Marks that end a word without being part of a pre-token of its letters; an apostrophe may be.
+MARKS = string.punctuation.replace("'", "")
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -38,26 +49,35 @@ class _Parts(dict):
         self.whole = tokenizer.encode
         # a byte-level BPE spells the printable bytes as themselves and the others from 256 on
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        self.spelling = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.space, self.marks = self.spelling[0x20], {m: self.pack(m) for m in (".", ",", "")}
+        spelling = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.spelling = "".join(spelling.get(b, chr(b)) for b in range(256))
+        self.space, self.marks, self.id = spelling[0x20], {"": b""}, attrgetter("id")
         self.newline = self.pack("\n")
 
     def pack(self, text: str) -> bytes:
         return array(self.code, self.whole(text, add_special_tokens=False).ids).tobytes()
 
+    def mark(self, marks: str) -> bytes:
+        value = self.marks.get(marks)
+        if value is None:
+            value = self.pack(marks)
+            if len(marks) <= 3:
+                self.marks[marks] = value
+        return value
+
     def __missing__(self, part: str) -> bytes:
-        # letters alone, or letters and one mark, are one or two pre-tokens
-        word, mark, space = part, "", self.space
-        if part[:1] == "\n":
-            word, space = part[1:], ""
-        if word[-1:] in (".", ","):
-            word, mark = word[:-1], word[-1]
-        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
-            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
-            value = array(self.code, [t.id for t in self.model.tokenize(space + spelt)]).tobytes() + self.marks[mark]
-            value = value if space else self.newline + value
+        # letters alone, or letters and marks, are one or two pre-tokens
+        line = part[:1] == "\n"
+        word = part[1:] if line else part
+        letters = word if word.isalpha() else word.rstrip(MARKS)
+        if letters.isalpha() and (letters.isascii() or max(letters) < "ɐ"):
+            spelt = letters if letters.isascii() else charmap_decode(letters.encode(), "strict", self.spelling)[0]
+            value = array(self.code, map(self.id, self.model.tokenize(spelt if line else self.space + spelt))).tobytes()
+            if len(letters) < len(word):
+                value += self.mark(word[len(letters) :])
+            value = self.newline + value if line else value
         else:
-            value = self.pack(part if part[:1] == "\n" else " " + part)
+            value = self.pack(part if line else " " + part)
         if len(part) <= CACHED_CHARS:
             self[part] = value
         return value
@@ -79,16 +99,58 @@ class Encoder:
             return b""
         if any(a in text for a in self.added):
             return self.parts.pack(text)
+        self._bound()
+        parts = text.replace("\n", " \n").split(" ") if _plain(text) else _cut(text)
+        return self._head(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:]))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """What :meth:`encode` gives for each text; a part that occurs often in them is looked up once."""
+        self._bound()
+        out, rows, heads, rests = [b""] * len(texts), [], [], []
+        for i, text in enumerate(texts):
+            if text and " " in text and not any(a in text for a in self.added) and _plain(text):
+                line = text.replace("\n", " \n")
+                at = line.index(" ")
+                rows.append(i)
+                heads.append(self._head(line[:at]))
+                rests.append(line[at:])
+            else:
+                out[i] = self.encode(text)
+        if not rows:
+            return out
+        # each rest begins with a space, so before the first one stands an empty part
+        parts = pc.split_pattern(pa.array(["".join(rests)], type=pa.large_string()), " ").flatten().slice(1).dictionary_encode()
+        every = pa.LargeListArray.from_arrays([0, len(parts.dictionary)], parts.dictionary)
+        found = list(map(self.parts.__getitem__, pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")))
+        size, place = self.dtype.itemsize, parts.indices.to_numpy()
+        length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // size
+        first, known, ids = np.cumsum(length) - length, np.frombuffer(b"".join(found), dtype=self.dtype), []
+        for lo in range(0, len(place), BLOCK):
+            own = place[lo : lo + BLOCK]
+            n = length[own]
+            stop = np.cumsum(n)
+            ids.append(known[np.repeat(first[own] - (stop - n), n) + np.arange(int(stop[-1]))].tobytes())
+        ids, stop = b"".join(ids), np.cumsum(length[place])
+        ends = (stop[np.cumsum([rest.count(" ") for rest in rests]) - 1] * size).tolist()
+        for i, head, a, b in zip(rows, heads, [0, *ends[:-1]], ends, strict=True):
+            out[i] = head + ids[a:b]
+        return out
+
+    def _bound(self) -> None:
         if len(self.parts) > CACHED_PARTS:
-            self.parts.clear()
-        words = text.split()
-        if len(" ".join(words)) == len(text) and text.count(" ") + text.count("\n") == len(words) - 1:
-            parts = text.replace("\n", " \n").split(" ")
-        else:
-            parts = _cut(text)
-        head = parts[0]
-        # the first part has nothing before it
-        return self.parts["\n" + head][len(self.parts.newline) :] + b"".join(map(self.parts.__getitem__, parts[1:])) if head.isalpha() else self.parts.pack(head) + b"".join(map(self.parts.__getitem__, parts[1:]))
+            # frequent parts are among the first that were met
+            for part in list(islice(self.parts, FIRST_PARTS, None)):
+                del self.parts[part]
+
+    def _head(self, part: str) -> bytes:
+        """The first part has nothing before it."""
+        return self.parts["\n" + part][len(self.parts.newline) :] if part.isalpha() else self.parts.pack(part)
+
+
+def _plain(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between words."""
+    words = text.split()
+    return len(" ".join(words)) == len(text) and text.count(" ") + text.count("\n") == len(words) - 1
 
 
 def _cut(text: str) -> list[str]:
