@@ -33,8 +33,9 @@ def lane(row_id: Column, lanes: int = 1 << PAGE_BITS) -> Column:
 
 
 def bit_reverse(key: Column, bits: int = 16) -> Column:
-    """The key with its bits in the opposite order; applied twice it is the key again."""
-    return F.conv(F.reverse(F.lpad(F.bin(key.cast("long")), bits, "0")), 2, 10).cast("int")
+    """The low bits of the key in the opposite order, higher ones don't count; applied twice it is the low bits again."""
+    low = key.cast("long").bitwiseAND((1 << bits) - 1)
+    return F.conv(F.reverse(F.lpad(F.bin(low), bits, "0")), 2, 10).cast("int")
 
 
 def vector_add(left: Column, right: Column) -> Column:

@@ -3,8 +3,10 @@
 import math
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
-from conftest import SF, rows
+from conftest import SF, TABLES, rows, same_rows
 from pyspark.sql import functions as F
 from sluice.functions import bit_reverse, horizontal_sum, page, slot, vector_add
 from sluice.operators import bitmaps, reducers, sets
@@ -12,7 +14,7 @@ from sluice.operators.keyed import KeyedTable
 from sluice.operators.selection import evaluate, evaluate_if_keys_intersect, select_filter
 from sluice.operators.terms import NOTHING, Slice, Term, intersection_of, union_of
 from sluice.plans.context import DatasetSpec
-from sluice.plans.queries import QUERIES
+from sluice.plans.queries import ORACLES, QUERIES
 from sluice.sources import latest, number_rows, row_set, synthetic_rows, synthetic_trades
 from sluice.streaming import ingest, snapshot
 
@@ -239,6 +241,17 @@ def test_bit_reversal(spark):
     assert k.select("r").distinct().count() == 1 << 16 and k.where(bit_reverse(F.col("r")) != F.col("k")).count() == 0
 
 
+def test_bit_reversal_beyond_its_bits(spark, tmp_path):
+    """Keys of more than 16 bits, negative ones and none, as in SQL."""
+    for t in TABLES:
+        if t != "orders":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    ids = [None, -(1 << 20) - 1, -17, -1, 0, 15, 16, (1 << 20) - 1, *range(1 << 20, (1 << 20) + 64, 7), 9_000_000, 1 << 40, (1 << 53) - 1]
+    pq.write_table(pa.table({"o_orderkey": pa.array(ids, pa.int64())}), tmp_path / "orders.parquet")
+    same_rows(QUERIES["bit_reverse_keys"](spark, str(tmp_path)), ORACLES["bit_reverse_keys"], str(tmp_path))
+    assert [r[0] for r in spark.range(1 << 16, (1 << 16) + 4).select(bit_reverse(F.col("id"))).collect()] == [0, 1 << 15, 1 << 14, 3 << 14]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), (None, [1.0]), ([2.0], None)], "l array<double>, r array<double>")
     assert [r[0] for r in df.select(horizontal_sum(vector_add(F.col("l"), F.col("r")))).collect()] == [10.0, 1.0, 2.0]
